@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import ORACLE as EXACT_ORACLE
 from .exact_dedup import op5_exact_dedup
+from .katz import op10_katz
 from .packing import op9_packing
 from .simhash import op8_simhash
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
+    "op10_katz": op10_katz,
 }
 
 ORACLES = {"op5_exact_dedup": EXACT_ORACLE}
