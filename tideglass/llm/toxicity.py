@@ -1,6 +1,6 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text, each counted once: words, their first bytes (a family of
+Features of a text, each counted once: words, their first bytes (families of
 words that share a beginning), neighbouring pairs, and pairs with one or two
 words between.  Per-coordinate rates and the L1 penalty leave few weights;
 they are kept by full 32-bit hash, so long texts do not fill up with chance
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, crc_mod, documents, hash_words, labels, sliced
 from .quality import labelled_sample
 
-SAMPLE, RARE, EPOCHS, HEAD = 10_000, 3, 3, 5
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.5, 0.5
+SAMPLE, RARE, EPOCHS, HEADS = 10_000, 2, 6, (4, 6)
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.05
 
 #: ASCII marks and white space part words; an apostrophe and a hyphen do too.
 PARTED = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
@@ -38,9 +38,11 @@ def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(32-bit features, owner) of all texts, repeats included, in no order."""
     words = [t.lower().encode("utf-8", "replace").translate(PARTED).split() for t in texts]
     one, sizes = hash_words(words)
-    head, _ = hash_words([[w[:HEAD] for w in x] for x in words], seed=1)
     owner = np.repeat(np.arange(len(texts)), sizes)
-    parts, owners = [one, head], [owner, owner]
+    parts, owners = [one], [owner]
+    for size in HEADS:
+        parts.append(hash_words([[w[:size] for w in x] for x in words], seed=size)[0])
+        owners.append(owner)
     for gap in (1, 2, 3):
         if len(one) > gap:
             inside = owner[:-gap] == owner[gap:]
