@@ -78,7 +78,7 @@ def columns(schema: pa.Schema, *values: Iterable) -> pa.RecordBatch:
 class HashOf(dict):
     """Word -> XXH64, kept for words seen before; it starts anew beyond ``most`` words, so memory is bounded."""
 
-    def __init__(self, most: int = 300_000, seed: int = 0):
+    def __init__(self, most: int = 200_000, seed: int = 0):
         super().__init__()
         self.most, self.seed = most, seed
 
@@ -92,16 +92,11 @@ class HashOf(dict):
 _HASHES: dict[int, HashOf] = {}
 
 
-def hash_words(docs: list[list[bytes]], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 of every word of every document, end to end, and the number of words of each."""
-    of = _HASHES.setdefault(seed, HashOf(seed=seed))
-    sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-    out = np.empty(int(sizes.sum()), np.uint64)
-    at = 0
-    for words in docs:
-        out[at : at + len(words)] = np.fromiter(map(of.__getitem__, words), np.uint64, len(words))
-        at += len(words)
-    return out, sizes
+def hash_words(docs: Iterable[list[bytes]], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every word of every document, end to end, and the number of words of each.  Words are held one document at a time."""
+    of = _HASHES.setdefault(seed, HashOf(seed=seed)).__getitem__
+    parts = [np.fromiter(map(of, words), np.uint64, len(words)) for words in docs]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array([len(x) for x in parts], np.int64)
 
 
 def crc_unsigned(data: bytes) -> int:

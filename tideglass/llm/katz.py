@@ -37,7 +37,7 @@ from .common import bounded_batches, crc_mod, documents, hash_words, text_bytes,
 
 VOCABULARY, HOT, FEW = 65_000, 50_000, 5
 CLASS, END = 0, 1
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 3 << 20
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -100,8 +100,7 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int = TEXT_BYTES) -> Iterato
 
     def made(held: list[pa.RecordBatch]) -> tuple:
         table = pa.Table.from_batches(held).combine_chunks()
-        words = [x.lower().split() + [b""] for part in table.column("text").chunks for x in text_bytes(part)]
-        hashes, sizes = hash_words(words)
+        hashes, sizes = hash_words(x.lower().split() + [b""] for part in table.column("text").chunks for x in text_bytes(part))
         ids = table.column("doc_id").combine_chunks()
         return number, ids, np.asarray(table.column("held_out").to_numpy(zero_copy_only=False), bool), hashes, sizes
 

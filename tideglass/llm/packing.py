@@ -23,6 +23,8 @@ and ids are pieces of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -37,23 +39,37 @@ from .common import bounded_batches, crc_unsigned, documents, sliced, text_bytes
 CAPACITY, END_ID = 2048, 0
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordTokens(dict):
     """White-space-free piece of text -> its ids as little-endian unsigned 32-bit bytes, by the ``tokenizers`` library.
 
     This tokenizer drops white space and never merges across it, so a text's ids
-    are its words' ids, end to end.  Unseen words are encoded together, parted
-    by a character that is one id by itself; ``most`` bounds the memory.
+    are its words' ids, end to end.  Most words are marks, Latin letters, marks:
+    after lower-casing each run is one unit for the library's model, and units
+    are kept too.  All others go through the whole tokenizer, together, parted
+    by a character that is one id by itself.  ``most`` bounds the memory.
     """
 
     MARK = "\x01"
+    MARKS = "[!-&(-/:-@\\[-`{-~]*"
+    SIMPLE = re.compile(f"({MARKS})([a-z\u00df-\u00f6\u00f8-\u00ff]*)({MARKS})")
+    LETTERS = _byte_letters()
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.units: dict[str, bytes] = {"": b""}
         self.mark = self.plain(self.MARK)
         if len(self.mark) != 1:
             raise ValueError("the parting character must be one id")
@@ -61,13 +77,30 @@ class WordTokens(dict):
     def plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn(self, words: set[bytes], together: int = 4096) -> None:
+    def unit(self, text: str) -> bytes:
+        got = self.units.get(text)
+        if got is None:
+            if len(self.units) >= self.most:
+                self.units = {"": b""}
+            letters = text if text.isascii() else "".join([self.LETTERS[b] for b in text.encode()])
+            got = self.units[text] = array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
+        return got
+
+    def learn(self, words: set[bytes], together: int = 2048) -> None:
         new = list(words.difference(self))
         if len(self) + len(new) > self.most:
             self.clear()
             new = list(words)
-        for at in range(0, len(new), together):
-            part = new[at : at + together]
+        other = []
+        for word in new:
+            found = self.SIMPLE.fullmatch(word.decode().lower())
+            if found:
+                before, middle, after = found.groups()
+                self[word] = self.unit(before) + self.unit(middle) + self.unit(after)
+            else:
+                other.append(word)
+        for at in range(0, len(other), together):
+            part = other[at : at + together]
             odd = [x for x in part if b"\x01" in x]
             part = [x for x in part if b"\x01" not in x]
             ids = np.array(self.plain(f" {self.MARK} ".join(x.decode() for x in part)), np.uint32)

@@ -70,7 +70,7 @@ def structure(texts: list[bytes], hashes: np.ndarray, sizes: np.ndarray, keys: n
 
 def features(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct hashed words of all texts end to end, how many each text has, statistics)."""
-    hashes, sizes = hash_words([t.lower().split() for t in texts])
+    hashes, sizes = hash_words(t.lower().split() for t in texts)
     owner = np.repeat(np.arange(len(texts)), sizes)
     keys, counts = np.unique(owner.astype(np.uint64) * np.uint64(words) + hashes % np.uint64(words), return_counts=True)
     owner, keys = (keys // np.uint64(words)).astype(np.int64), (keys % np.uint64(words)).astype(np.int64)
