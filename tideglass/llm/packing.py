@@ -52,11 +52,10 @@ class WordTokens(dict):
     This tokenizer drops white space and never merges across it, so a text's ids
     are its words' ids, end to end.  Most words are marks, Latin letters, marks:
     after lower-casing each run is one unit for the library's model, and units
-    are kept too.  All others go through the whole tokenizer, together, parted
-    by a character that is one id by itself.  ``most`` bounds the memory.
+    are kept too.  All others go through the whole tokenizer.  ``most`` bounds
+    the words kept.
     """
 
-    MARK = "\x01"
     MARKS = "[!-&(-/:-@\\[-`{-~]*"
     SIMPLE = re.compile(f"({MARKS})([a-z\u00df-\u00f6\u00f8-\u00ff]*)({MARKS})")
     LETTERS = _byte_letters()
@@ -68,14 +67,8 @@ class WordTokens(dict):
         self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.units: dict[str, bytes] = {"": b""}
-        self.mark = self.plain(self.MARK)
-        if len(self.mark) != 1:
-            raise ValueError("the parting character must be one id")
-
-    def plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def unit(self, text: str) -> bytes:
         got = self.units.get(text)
@@ -83,39 +76,25 @@ class WordTokens(dict):
             if len(self.units) >= self.most:
                 self.units = {"": b""}
             letters = text if text.isascii() else "".join([self.LETTERS[b] for b in text.encode()])
-            got = self.units[text] = array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
+            got = self.units[text] = array("I", [x.id for x in self.tokenize(letters)]).tobytes()
         return got
 
-    def learn(self, words: set[bytes], together: int = 2048) -> None:
-        new = list(words.difference(self))
-        if len(self) + len(new) > self.most:
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.most:
             self.clear()
-            new = list(words)
-        other = []
-        for word in new:
-            found = self.SIMPLE.fullmatch(word.decode().lower())
-            if found:
-                before, middle, after = found.groups()
-                self[word] = self.unit(before) + self.unit(middle) + self.unit(after)
-            else:
-                other.append(word)
-        for at in range(0, len(other), together):
-            part = other[at : at + together]
-            odd = [x for x in part if b"\x01" in x]
-            part = [x for x in part if b"\x01" not in x]
-            ids = np.array(self.plain(f" {self.MARK} ".join(x.decode() for x in part)), np.uint32)
-            cuts = np.flatnonzero(ids == self.mark[0]) if part else np.zeros(0, np.int64)
-            if part and len(cuts) != len(part) - 1:
-                odd, part = odd + part, []
-            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            raw = ids.astype("<u4").tobytes()
-            self.update(zip(part, [raw[4 * s : 4 * e] for s, e in zip(starts, ends, strict=True)], strict=False))
-            self.update((x, np.array(self.plain(x.decode()), "<u4").tobytes()) for x in odd)
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        words = [x.split() for x in texts]
-        self.learn(set().union(*words))
-        return [b"".join(map(self.__getitem__, x)) for x in words]
+        text = word.decode().lower()
+        core = text.rstrip(".,!?;:|")
+        if core.isascii() and core.isalpha():
+            got = self.unit(core) + self.unit(text[len(core) :])
+        elif found := self.SIMPLE.fullmatch(text):
+            got = b"".join(map(self.unit, found.groups()))
+        else:
+            got = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        self[word] = got
+        return got
+
+    def ids(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -141,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         for batch in sliced(batches):
             rows: list[tuple] = []
             held: list[bytes] = []
-            for k, raw in enumerate(tokens.ids(text_bytes(batch.column(1)))):
+            for k, raw in enumerate(map(tokens.ids, text_bytes(batch.column(1)))):
                 raw += end
                 for i, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
