@@ -7,6 +7,7 @@ from .exact_dedup import ORACLE as EXACT_ORACLE
 from .exact_dedup import op5_exact_dedup
 from .katz import op10_katz
 from .language import op1_language
+from .licences import op6_licences
 from .packing import op9_packing
 from .quality import op2_quality
 from .simhash import op8_simhash
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_licences": op6_licences,
     "op7_chunks": op7_chunks,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
