@@ -9,6 +9,7 @@ from .katz import op10_katz
 from .language import op1_language
 from .licences import op6_licences
 from .packing import op9_packing
+from .pieces import op4_sentencepiece
 from .quality import op2_quality
 from .simhash import op8_simhash
 from .toxicity import op3_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_licences": op6_licences,
     "op7_chunks": op7_chunks,
