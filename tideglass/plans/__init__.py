@@ -1 +1 @@
-
+"""Queries and pipelines."""
