@@ -1,3 +1,6 @@
 """Imports every module that registers queries."""
 
-from . import feature_queries  # noqa: F401
+from . import (  # noqa: F401
+    feature_queries,
+    label_queries,
+)
