@@ -3,4 +3,6 @@
 from . import (  # noqa: F401
     feature_queries,
     label_queries,
+    metric_queries,
+    portfolio_queries,
 )
