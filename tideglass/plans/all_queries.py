@@ -1,6 +1,7 @@
 """Imports every module that registers queries."""
 
 from . import (  # noqa: F401
+    data_queries,
     feature_queries,
     label_queries,
     metric_queries,

@@ -73,8 +73,8 @@ query("r06_diebold_mariano", "model n", "stat mean_diff", sql="SELECT model, cou
     lambda s, d: (lambda st, me: forecasts(s, d).where("r is not null").withColumn("d", (F.col("r") - F.col("pred")) ** 2 - F.col("r") ** 2).groupBy("model").agg(F.count("d").alias("n"), st.alias("stat"), me.alias("mean_diff")))(*S.diebold_mariano())
 )
 RANKED = f"""{FORE},
-rk AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY pred) + (count(*) OVER (PARTITION BY model, pred) - 1) / 2.0 AS a, rank() OVER (PARTITION BY model ORDER BY r) + (count(*) OVER (PARTITION BY model, r) - 1) / 2.0 AS b FROM fore WHERE r IS NOT NULL AND pred IS NOT NULL),
-zz AS (SELECT *, CASE WHEN max(a) OVER w > min(a) OVER w AND max(b) OVER w > min(b) OVER w THEN (a - avg(a) OVER w) / stddev_pop(a) OVER w * (b - avg(b) OVER w) / stddev_pop(b) OVER w END AS prod FROM rk WINDOW w AS (PARTITION BY model))"""
+rk AS (SELECT model, session_id, rank() OVER (PARTITION BY model ORDER BY pred) + (count(*) OVER (PARTITION BY model, pred) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY model ORDER BY r) + (count(*) OVER (PARTITION BY model, r) - 1) / 2.0 AS rb FROM fore WHERE r IS NOT NULL AND pred IS NOT NULL),
+zz AS (SELECT *, CASE WHEN max(ra) OVER w > min(ra) OVER w AND max(rb) OVER w > min(rb) OVER w THEN (ra - avg(ra) OVER w) / stddev_pop(ra) OVER w * (rb - avg(rb) OVER w) / stddev_pop(rb) OVER w END AS prod FROM rk WINDOW w AS (PARTITION BY model))"""
 query("r07_information_coefficient", "model n", "ic t", sql=f"SELECT model, n, mean AS ic, mean / nullif(se, 0) AS t FROM ({nw_sql('zz', 'prod', 'model')})", tables=RANKED)(lambda s, d: S.information_coefficient(forecasts(s, d)))
 query(
     "r08_pesaran_timmermann", "model n", "hit_rate stat",
