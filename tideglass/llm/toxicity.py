@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, documents, hash_words, labels, sliced
+from .common import bounded_batches, crc_mod, documents, forget, hash_words, labels, sliced, written
 from .quality import labelled_sample
 
-SAMPLE, RARE, EPOCHS, HEADS = 10_000, 2, 6, (4, 6)
+SAMPLE, RARE, EPOCHS, HEADS, STREAMS = 8000, 2, 6, (4, 6), 16
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.05
 
 #: ASCII marks and white space part words; an apostrophe and a hyphen do too.
@@ -102,29 +102,56 @@ def fit(docs: DataFrame, table: DataFrame, label: str = "toxic", id_col: str = "
             raw = both.astype(np.uint32)
             yield pa.record_batch([pa.array([raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), batch.column(1)], names=["keys", "label"])
 
-    got = labelled_sample(docs, table, label, sample, id_col, text_col).mapInArrow(run, "keys binary, label double").toArrow()
-    label_of = got.column("label").to_numpy()
-    if not len(label_of):
+    # written once and streamed twice, so that the driver holds a part of the sample's features at a time
+    table = written(labelled_sample(docs, table, label, sample, id_col, text_col).mapInArrow(run, "keys binary, label double").repartition(STREAMS))
+    keys = _frequent((np.frombuffer(r.keys, np.uint32) for r in table.toLocalIterator()), rare)
+    rows: list[np.ndarray] = []
+    label_of: list[float] = []
+    for r in table.toLocalIterator():
+        row = np.frombuffer(r.keys, np.uint32)
+        at = np.minimum(np.searchsorted(keys, row), max(0, len(keys) - 1))
+        at = at[keys[at] == row] if len(keys) else at[:0]
+        rows.append(np.append(at, len(keys)).astype(np.int32))  # the last is the bias
+        label_of.append(r.label)
+    forget(table)
+    if not rows:
         return Weights(np.zeros(0, np.uint32), np.zeros(0), -30.0)
-    rows = [np.frombuffer(x, np.uint32) for x in got.column("keys").to_pylist()]
-    keys, counts = np.unique(np.concatenate(rows), return_counts=True)
-    keys = keys[counts >= rare]
-    model = Ftrl(len(keys) + 1)  # the last is the bias
-    inside = []
-    for row in rows:
-        at = np.searchsorted(keys, row)
-        at = at[at < len(keys)] if not len(keys) else np.minimum(at, len(keys) - 1)[keys[np.minimum(at, len(keys) - 1)] == row]
-        inside.append(np.append(at, len(keys)))
-    first = sorted(range(len(rows)), key=lambda k: rows[k].tobytes()[:64])  # whatever the order of rows
+    model = Ftrl(len(keys) + 1)
+    first = sorted(range(len(rows)), key=lambda k: (len(rows[k]), rows[k].tobytes()))  # whatever the order of rows
     rng = np.random.default_rng(13)
     for _ in range(epochs):
         for k in rng.permutation(first):
-            model.learn(inside[k], label_of[k])
+            model.learn(rows[k], label_of[k])
     w = model.weights()
     some = np.flatnonzero(w[:-1])
     return Weights(keys[some], w[some], float(w[-1]))
 
 
+def _frequent(rows: Iterator[np.ndarray], least: int, together: int = 1_000_000) -> np.ndarray:
+    """Features that ``least`` rows or more hold, sorted; counts are merged every ``together`` entries."""
+    keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.uint16)
+    held: list[np.ndarray] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        k, c = np.unique(np.concatenate(held), return_counts=True)
+        both = np.concatenate([keys, k])
+        order = np.argsort(both, kind="stable")
+        both, number = both[order], np.concatenate([counts, c.astype(np.uint16)])[order]
+        start = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        return both[start], np.minimum(np.add.reduceat(number, start, dtype=np.uint32), 60_000).astype(np.uint16)
+
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row)
+        if size >= together:
+            keys, counts = merged()
+            held, size = [], 0
+    if size:
+        keys, counts = merged()
+    return keys[counts >= least]
+
+
 def score(docs: DataFrame, model: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score of every row."""
     bounded_batches(docs.sparkSession)
