@@ -43,7 +43,7 @@ codecs.register_error("tideglass_bytes", lambda e: ("�" * (e.end - e.start), e
 class Pieces:
     """A vocabulary, with the words that were encoded before (at most ``most``)."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 700_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
