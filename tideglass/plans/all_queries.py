@@ -6,4 +6,5 @@ from . import (  # noqa: F401
     label_queries,
     metric_queries,
     portfolio_queries,
+    recursion_queries,
 )
