@@ -5,6 +5,7 @@ from . import (  # noqa: F401
     feature_queries,
     label_queries,
     metric_queries,
+    model_queries,
     portfolio_queries,
     recursion_queries,
 )
