@@ -78,7 +78,7 @@ def columns(schema: pa.Schema, *values: Iterable) -> pa.RecordBatch:
 class HashOf(dict):
     """Word -> XXH64, kept for words seen before; it starts anew beyond ``most`` words, so memory is bounded."""
 
-    def __init__(self, most: int = 200_000, seed: int = 0):
+    def __init__(self, most: int = 120_000, seed: int = 0):
         super().__init__()
         self.most, self.seed = most, seed
 

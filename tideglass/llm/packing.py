@@ -60,7 +60,7 @@ class WordTokens(dict):
     SIMPLE = re.compile(f"({MARKS})([a-z\u00df-\u00f6\u00f8-\u00ff]*)({MARKS})")
     LETTERS = _byte_letters()
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         super().__init__()
         from tokenizers import Tokenizer
 

@@ -165,7 +165,7 @@ def fit(docs: DataFrame, table: DataFrame, label: str = "quality", id_col: str =
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, 2 << 20):
             keys, sizes, stats = features(text_bytes(batch.column(0)), words)
             cuts = np.concatenate([[0], np.cumsum(sizes)])
             raw = keys.astype(np.uint16 if words <= 1 << 16 else np.uint32)
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: Machine | Constant, id_col: str = "doc_id", te
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, 2 << 20):
             found = sent.value.probability(*features(text_bytes(batch.column(1)), words))
             yield pa.record_batch([batch.column(0), pa.array(found.astype(np.float64))], names=["doc_id", "score"])
 
@@ -204,7 +204,7 @@ def keep(docs: DataFrame, table: DataFrame, least: float = 0.3, id_col: str = "d
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, 2 << 20):
             found = sent.value.probability(*features(text_bytes(batch.column(batch.schema.get_field_index(text_col)))))
             yield batch.filter(pa.array(found >= least))
 
