@@ -90,3 +90,11 @@ def test_dominance_keeps_the_optimum(seed):
     fixed, left = packing.dominance(counts, capacity)
     rest = fewest(Counter(left).elements(), capacity) if left else 0
     assert sum(n for _, n in fixed) + rest == fewest(counts.elements(), capacity)
+
+
+def test_plan_does_not_walk_items():
+    """The plan's size follows the lengths, not the pieces."""
+    counts = {n: 10**9 + n for n in (3, 300, 600, 682, 700, 1024, 1500, 2045, 2048)}
+    patterns = packing.plan(counts, 2048)
+    assert len(patterns) < 100
+    assert sum(times for _, times in patterns) <= 1.05 * sum(n * c for n, c in counts.items()) / 2048

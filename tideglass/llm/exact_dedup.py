@@ -95,8 +95,7 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     group = [best.alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
     heavy = spark.createDataFrame([(x,) for x in heavy_digests(table, k)], "digest binary")
     winners = table.join(F.broadcast(heavy), "digest", "left_semi").groupBy("digest").agg(*group).collect()  # k rows at most
-    n = sum(r.group_size for r in winners)
-    n = table.count() if n else 0
+    n = table.count()
     winners = spark.createDataFrame([tuple(r) for r in winners if r.group_size > n / k], f"digest binary, keep_id {dict(table.dtypes)['doc_id']}, group_size long")
     large = table.join(F.broadcast(winners), "digest")
     rest = table.join(F.broadcast(winners.select("digest")), "digest", "left_anti")

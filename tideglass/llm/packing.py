@@ -178,14 +178,13 @@ def dominance(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], dic
                 continue
             smallest = [x for x in order[:4] for _ in range(min(3, left[x] - (x == big)))][:3]
             if len(smallest) < 2 or smallest[0] + smallest[1] > room:
-                # one at a time when the partner's class may run out or more partners of another size follow
                 take((big, one), both(big, one))
                 continue
             if len(smallest) < 3 or sum(smallest) > room:
                 two = fits(room - one, Counter([big, one]))
                 half = fits(room // 2, Counter([big]))
                 if two and two >= half:
-                    take((big, one, two), 1 if two == one or one == big or two == big else both(big, one, two))
+                    take((big, one, two), both(big, one, two))
                     continue
             break
     return fixed, left
