@@ -256,7 +256,7 @@ def pbo(spark: SparkSession, rows: DataFrame, blocks: int = 8, x: str = "net") -
     member = spark.createDataFrame([(c, b) for c, half in enumerate(halves) for b in half], "combo int, block int").withColumn("inside", F.lit(True))
     every = spark.range(len(halves)).select(F.col("id").cast("int").alias("combo")).crossJoin(spark.range(blocks).select(F.col("id").cast("int").alias("block")))
     sides = F.broadcast(every.join(member, ["combo", "block"], "left").withColumn("inside", F.coalesce("inside", F.lit(False))))
-    part = stats.join(F.broadcast(live), "strategy", "left_semi").join(sides, "block").groupBy("combo", "strategy", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    part = stats.join(live, "strategy", "left_semi").join(sides, "block").groupBy("combo", "strategy", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     var = (F.col("q") - F.col("s") ** 2 / F.col("n")) / (F.col("n") - 1)
     sr = part.withColumn("sr", ratio(F.col("s") / F.col("n"), F.sqrt(F.when(var > 1e-300, var))))
     wide = sr.groupBy("combo", "strategy").agg(F.max(F.when(F.col("inside"), F.col("sr"))).alias("is_sr"), F.coalesce(F.max(F.when(~F.col("inside"), F.col("sr"))), F.lit(0.0)).alias("oos_sr"))

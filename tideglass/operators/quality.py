@@ -48,9 +48,9 @@ def returns_with_mad(g: DataFrame) -> DataFrame:
     t = Trail()
     r = g.withColumn("r", t.diff(ln("close")))
     med = r.groupBy("ticker").agg(F.percentile("r", F.lit(0.5)).alias("med"))
-    dev = r.join(F.broadcast(med), "ticker")
+    dev = r.join(med, "ticker")
     mad = dev.groupBy("ticker").agg((F.percentile(F.abs(F.col("r") - F.col("med")), F.lit(0.5)) * 1.4826).alias("mad"))
-    return dev.join(F.broadcast(mad), "ticker")
+    return dev.join(mad, "ticker")
 
 
 def outliers(g: DataFrame, sigmas: float = 10.0) -> DataFrame:

@@ -48,7 +48,7 @@ def _earnings(spark, sf):
 @query("s10_cache_fill", "ticker date", sql="SELECT t.ticker, s.date FROM sessions s CROSS JOIN (SELECT DISTINCT ticker FROM bars) t WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.ticker = t.ticker AND b.date = s.date)", tables=BARS)
 def _cache_fill(spark, sf):
     b = M.bars(spark, sf)
-    wanted = M.sessions(b).select("date").crossJoin(F.broadcast(b.select("ticker").distinct()))
+    wanted = b.select("ticker").distinct().crossJoin(F.broadcast(M.sessions(b).select("date")))
     return wanted.join(b.select("ticker", "date"), ["ticker", "date"], "left_anti")
 
 

@@ -17,7 +17,7 @@ CONTEXT = (
     "sector_close double, broad_close double, index_close double, peer_mean_1 double, peer_mean_5 double, peer_mean_21 double, peer_std_21 double, "
     "vix double, vix3m double, dgs10 double, dgs2 double, is_event boolean, next_event long, month_end_id long, opex boolean"
 )
-AHEAD = re.compile(r"\blead\(|specifiedwindowframe\(\w+, [^)]*?, (?:unboundedfollowing|[1-9])", re.IGNORECASE)
+AHEAD = re.compile(r"\blead\(|specifiedwindowframe\(\w+, (?:-?\d+|\w+\$\(\)), (?:unboundedfollowing|[1-9])", re.IGNORECASE)
 
 
 def looks_ahead(df: DataFrame) -> list[str]:

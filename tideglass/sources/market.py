@@ -56,9 +56,8 @@ def sessions(days: DataFrame) -> DataFrame:
 
 def on_grid(b: DataFrame) -> DataFrame:
     """Bars on the dense grid of sessions and tickers; missing bars are null."""
-    days = sessions(b)
-    names = b.select("ticker").distinct()
-    return days.crossJoin(F.broadcast(names)).join(b, ["ticker", "date"], "left").select("ticker", "session_id", "date", "open", "high", "low", "close", "volume")
+    days = F.broadcast(sessions(b))  # the calendar: bounded by the days there are, whatever the input
+    return b.select("ticker").distinct().crossJoin(days).join(b, ["ticker", "date"], "left").select("ticker", "session_id", "date", "open", "high", "low", "close", "volume")
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
