@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, sliced
+from .common import bounded_batches, documents, sliced, tidy
 
 LEAST, NORMAL, MOST = 12, 40, 160
 #: Hash bits that must be zero: six before the normal size, four of them after it.
@@ -118,7 +118,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = chunk_sets([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()])
             yield pa.record_batch([batch.column(0), pa.array(map(written_out, found), pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, fingerprint string")
 
 
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges_each: int = 4) -> DataFrame:
@@ -144,7 +144,7 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
                 least[r] = min(now, least.get(r, now))
         yield pa.record_batch([pa.array(list(least), pa.int64()), pa.array(list(least.values()), pa.int64())], names=["r", "least"])
 
-    found = {r.r: r.least for r in ids.mapInArrow(firsts, "r long, least long").groupBy("r").agg(F.min("least").alias("least")).collect()}  # a row for each range
+    found = {r.r: r.least for r in ids.mapInArrow(tidy(firsts), "r long, least long").groupBy("r").agg(F.min("least").alias("least")).collect()}  # a row for each range
     order = sorted(found)
     before = {found[r]: order[k - 1] for k, r in enumerate(order)}  # first id of a range -> the range before it
     heads = np.array(sorted(before), np.int64)
@@ -161,7 +161,7 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
                 yield pa.record_batch([pa.array(to[np.searchsorted(heads, known[some])]), pa.array(np.ones(len(some), bool)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["range", "tail", "doc_id", "text"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(deal, "range long, tail boolean, doc_id long, text string").repartition(n, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
+    return rows.mapInArrow(tidy(deal), "range long, tail boolean, doc_id long, text string").repartition(n, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -212,7 +212,7 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     held.append((i, text))
                     size += len(text)
 
-    return in_order(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_order(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,33 @@ def hash_words(docs: Iterable[list[bytes]], seed: int = 0) -> tuple[np.ndarray,
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array([len(x) for x in parts], np.int64)
 
 
+#: What other modules keep between batches, and how to let it go.
+KEPT: list[Callable[[], None]] = [lambda: [x.clear() for x in _HASHES.values()]]
+
+
+def release() -> None:
+    """Give a worker's memory back: a reused worker must not hold the words of one operator while it runs the next."""
+    for drop in KEPT:
+        drop()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same, and the worker's memory is released at the end of each task."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return held
+
+
 def crc_unsigned(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 

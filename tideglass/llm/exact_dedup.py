@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, written
+from .common import bounded_batches, documents, tidy, written
 
 WHITE = r"[\x20\x09-\x0D]"
 
@@ -68,7 +68,7 @@ def heavy_digests(table: DataFrame, k: int = 1024, fan_in: int = 64) -> list[byt
     spark = table.sparkSession
     bounded_batches(spark)
     kind = "part long, digest binary, n long"
-    out = table.select("digest").mapInArrow(_summarise(k), kind)
+    out = table.select("digest").mapInArrow(tidy(_summarise(k)), kind)
     parts = table.rdd.getNumPartitions()
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, documents, hash_words, text_bytes, written
+from .common import bounded_batches, crc_mod, documents, hash_words, text_bytes, tidy, written
 
 VOCABULARY, HOT, FEW = 65_000, 50_000, 5
 CLASS, END = 0, 1
@@ -171,7 +171,7 @@ def _count(docs: DataFrame, n: int, keys_of) -> DataFrame:
             keys, counts = _merged((_undo(d), c) for d, c in (_spread(data) for _, _, data in rows))
             yield _rows([(bucket, 0, 0, _squeeze(_deltas(keys), counts))])
 
-    return written(_by_bucket(docs.mapInArrow(emit, EXCHANGED), n).mapInArrow(add, EXCHANGED))
+    return written(_by_bucket(docs.mapInArrow(tidy(emit), EXCHANGED), n).mapInArrow(tidy(add), EXCHANGED))
 
 
 def _histogram(table: DataFrame) -> dict[int, int]:
@@ -183,7 +183,7 @@ def _histogram(table: DataFrame) -> dict[int, int]:
             c, n = np.unique(counts, return_counts=True)
             yield pa.record_batch([pa.array(c.astype(np.int64)), pa.array(n.astype(np.int64))], names=["c", "n"])
 
-    return {r.c: r.n for r in table.mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()}
+    return {r.c: r.n for r in table.mapInArrow(tidy(run), "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()}
 
 
 def _at_least(histogram: dict[int, int], most: int) -> int:
@@ -208,7 +208,7 @@ def _frequent(table: DataFrame, least: int, always: int | None = None) -> tuple[
                 some = c >= least if always is None else (c >= least) | (k == np.uint64(always))
                 yield pa.record_batch([pa.array(k[some].astype(np.uint64).view(np.int64)), pa.array(c[some].astype(np.int64))], names=["k", "c"])
 
-    got = table.mapInArrow(run, "k long, c long").toArrow()
+    got = table.mapInArrow(tidy(run), "k long, c long").toArrow()
     keys = got.column("k").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], got.column("c").to_numpy()[order]
@@ -298,7 +298,7 @@ def _weigh(model: Model, table: DataFrame, broadcast) -> None:
                 some = np.flatnonzero(sums[0])
                 yield pa.record_batch([pa.array(some), *(pa.array(x[some]) for x in sums)], names=["h", "c", "dc", "p"])
 
-    got = table.mapInArrow(run, "h long, c double, dc double, p double").groupBy("h").agg(*(F.sum(x).alias(x) for x in ("c", "dc", "p"))).toArrow()
+    got = table.mapInArrow(tidy(run), "h long, c double, dc double, p double").groupBy("h").agg(*(F.sum(x).alias(x) for x in ("c", "dc", "p"))).toArrow()
     size = len(model.single)
     c, dc, p = (np.zeros(size) for _ in range(3))
     h = got.column("h").to_numpy()
@@ -406,8 +406,8 @@ def score(docs: DataFrame, model: Model, words: DataFrame, pairs: DataFrame, n:
             )
 
     held = words.withColumn("kind", F.lit(-1)).unionByName(pairs.withColumn("kind", F.lit(-2)))
-    asked = _by_bucket(held.unionByName(docs.mapInArrow(ask, EXCHANGED)), n)
-    return _by_bucket(asked.mapInArrow(answer, EXCHANGED), n, "batch").mapInArrow(add, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asked = _by_bucket(held.unionByName(docs.mapInArrow(tidy(ask), EXCHANGED)), n)
+    return _by_bucket(asked.mapInArrow(tidy(answer), EXCHANGED), n, "batch").mapInArrow(tidy(add), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def katz_scores(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, hot: int = HOT, few: int = FEW) -> DataFrame:

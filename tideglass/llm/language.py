@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, documents, sliced
+from .common import bounded_batches, crc_mod, documents, sliced, tidy
 
 DIMENSIONS, GRAM, PER_LANGUAGE = 1024, 3, 4000
 #: Most cells of one matrix of counts, and of bound n-grams at a time.
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
         if sums:
             yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
-    parts = sample.mapInArrow(add, "lang string, v array<double>").select("lang", F.posexplode("v").alias("k", "x"))
+    parts = sample.mapInArrow(tidy(add), "lang string, v array<double>").select("lang", F.posexplode("v").alias("k", "x"))
     got = parts.groupBy("lang", "k").agg(F.sum("x").alias("x")).toPandas()
     langs = sorted(counts)
     table = np.zeros((len(langs), dimensions))
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id
             score = np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0.0)
             yield pa.record_batch([batch.column(0), pa.array(names[best], pa.string()), pa.array(score.astype(np.float64))], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, hash_words, sliced
+from .common import bounded_batches, documents, hash_words, sliced, tidy
 
 LEAST = 0.8
 
@@ -170,7 +170,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
             rows = [[dict(zip(("license", "dice", "first_word", "end_word"), m, strict=True)) for m in x] for x in found]
             yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(match))], names=["doc_id", "matches"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {MATCHES}")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, {MATCHES}")
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

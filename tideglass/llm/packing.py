@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_unsigned, documents, sliced, text_bytes, written
+from .common import KEPT, bounded_batches, crc_unsigned, documents, sliced, text_bytes, tidy, written
 
 CAPACITY, END_ID = 2048, 0
 
@@ -100,6 +100,15 @@ class WordTokens(dict):
 _TOKENS: dict[str, WordTokens] = {}
 
 
+def _drop_words() -> None:
+    for x in _TOKENS.values():
+        x.clear()
+        x.units = {"": b""}
+
+
+KEPT.append(_drop_words)
+
+
 def word_tokens(path: str) -> WordTokens:
     if path not in _TOKENS:
         _TOKENS[path] = WordTokens(path)
@@ -137,7 +146,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 names.append("ids")
             yield pa.record_batch(out, names=names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 #: A pattern: lengths with repeats, in order of their offsets, and the number of sequences filled so.
@@ -270,7 +279,7 @@ def pack_pieces(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.record_batch([*(batch.column(f.name) for f in kept), pa.array(sequence), pa.array(offset)], names=[*(f.name for f in kept), "sequence_id", "offset"])
 
     ranked = table.join(earlier, ["length", "slab"]).select(*[f.name for f in kept], (F.col("earlier") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(tidy(run), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, documents, hash_words, labels, sliced, text_bytes
+from .common import bounded_batches, crc_mod, documents, hash_words, labels, sliced, text_bytes, tidy
 
 WORDS, BINS, FACTORS, SAMPLE, EPOCHS = 1 << 15, 12, 8, 8000, 4
 NAMES = ("bytes", "words", "word_size", "distinct", "upper", "digit", "mark", "mark_run", "lone_mark", "line", "same_line", "same_next", "wide", "top_word")
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, table: DataFrame, label: str = "quality", id_col: str =
             raw = keys.astype(np.uint16 if words <= 1 << 16 else np.uint32)
             yield pa.record_batch([pa.array([raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array(stats.tolist(), pa.list_(pa.float64())), batch.column(1)], names=["keys", "stats", "label"])
 
-    got = labelled_sample(docs, table, label, sample, id_col, text_col).mapInArrow(run, "keys binary, stats array<double>, label double").toArrow()
+    got = labelled_sample(docs, table, label, sample, id_col, text_col).mapInArrow(tidy(run), "keys binary, stats array<double>, label double").toArrow()
     label_of = got.column("label").to_numpy()
     if len(set(label_of)) < 2:
         return Constant(float(label_of.mean()) if len(label_of) else 0.5)
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Machine | Constant, id_col: str = "doc_id", te
             found = sent.value.probability(*features(text_bytes(batch.column(1)), words))
             yield pa.record_batch([batch.column(0), pa.array(found.astype(np.float64))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, score double")
 
 
 def keep(docs: DataFrame, table: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +208,7 @@ def keep(docs: DataFrame, table: DataFrame, least: float = 0.3, id_col: str = "d
             found = sent.value.probability(*features(text_bytes(batch.column(batch.schema.get_field_index(text_col)))))
             yield batch.filter(pa.array(found >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

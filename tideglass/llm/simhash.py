@@ -11,7 +11,8 @@ table bucket yields a spanning forest of its links, never all pairs.
 
 Defined results: null and empty texts have fingerprint zero and are linked
 like any other; fewer words than a shingle make one shingle; rows repeating a
-doc_id are separate rows with equal results; an empty table gives no rows.
+doc_id are separate rows with equal results; ids are integers below 2^62, and
+a group without any id has component null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, sliced, text_bytes, written
+from .common import bounded_batches, documents, sliced, text_bytes, tidy, written
 from .components import components
 
 WORDS, RADIUS, SEED = 3, 3, 42
+#: Numbers from here on stand for fingerprints of rows without an id.
+NO_ID = 1 << 62
 
 
 def shingle_hashes(text: bytes, words: int = WORDS) -> list[int]:
@@ -67,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(x, words) for x in text_bytes(batch.column(1))], np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, fp long")
 
 
 def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -149,19 +152,22 @@ def links(distinct: DataFrame, radius: int = RADIUS, fp_col: str = "fp") -> Data
     asking = distinct.select(F.explode(F.concat(*flips)).alias("key"), fp.alias("fp"), F.lit(False).alias("stored"))
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = stored.unionByName(asking).repartition(n, "key").sortWithinPartitions("key")
-    return rows.mapInArrow(_links(radius), "a long, b long").distinct()
+    return rows.mapInArrow(tidy(_links(radius)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links reach."""
     bounded_batches(docs.sparkSession)
     table = written(fingerprints(docs, id_col, text_col, words))
-    nodes = written(table.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = components(links(nodes, radius))
-    of = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
-    least = of.groupBy("part").agg(F.min("least").alias("component_id"))
-    named = of.join(least, "part").select("fp", "component_id")
-    return table.join(named, "fp").select("doc_id", "fp", "component_id")
+    # a node is known by its smallest id, so the least node of a component is the answer and no component is gathered;
+    # a fingerprint without any id gets a number above all ids (two that share one differ in two bits, hence are linked)
+    stand_in = F.shiftrightunsigned("fp", 2).bitwiseOR(F.lit(NO_ID))
+    nodes = written(table.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.first(stand_in)).alias("node")))
+    found = written(links(nodes, radius))
+    ends = [nodes.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}")) for c in "ab"]
+    joined = components(found.join(ends[0], "a").join(ends[1], "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    named = nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return table.join(named, "fp").select("doc_id", "fp", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:

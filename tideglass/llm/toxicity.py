@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, documents, forget, hash_words, labels, sliced, written
+from .common import bounded_batches, crc_mod, documents, forget, hash_words, labels, sliced, tidy, written
 from .quality import labelled_sample
 
 SAMPLE, RARE, EPOCHS, HEADS, STREAMS = 8000, 2, 6, (4, 6), 16
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, table: DataFrame, label: str = "toxic", id_col: str = "
             yield pa.record_batch([pa.array([raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), batch.column(1)], names=["keys", "label"])
 
     # written once and streamed twice, so that the driver holds a part of the sample's features at a time
-    table = written(labelled_sample(docs, table, label, sample, id_col, text_col).mapInArrow(run, "keys binary, label double").repartition(STREAMS))
+    table = written(labelled_sample(docs, table, label, sample, id_col, text_col).mapInArrow(tidy(run), "keys binary, label double").repartition(STREAMS))
     keys = _frequent((np.frombuffer(r.keys, np.uint32) for r in table.toLocalIterator()), rare)
     rows: list[np.ndarray] = []
     label_of: list[float] = []
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: Weights, id_col: str = "doc_id", text_col: str
         for batch in sliced(batches, 1 << 20):
             yield pa.record_batch([batch.column(0), pa.array(sent.value.probability([x or "" for x in batch.column(1).to_pylist()]))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, score double")
 
 
 def keep(docs: DataFrame, table: DataFrame, most: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,7 +175,7 @@ def keep(docs: DataFrame, table: DataFrame, most: float = 0.5, id_col: str = "do
             texts = [x or "" for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             yield batch.filter(pa.array(sent.value.probability(texts) < most))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
