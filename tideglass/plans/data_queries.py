@@ -180,3 +180,20 @@ def hourly(events):
     from ..streaming.bars import hourly_bars
 
     return hourly_bars(events).select("event_type", F.col("hour"), "n", "open", "high", "low", "close", "volume")
+
+
+_SIX = "SELECT event_type, ts, value, date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS start FROM events, range(0, 6) t(k)"
+
+
+@query("st02_sliding_bars", "event_type start n", OHLCV, digits=9, sql=f"SELECT event_type, start, count(*) AS n, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, sum(value) AS volume FROM ({_SIX}) GROUP BY 1, 2")
+def _sliding(spark, sf):
+    from ..streaming.bars import sliding_bars
+
+    return sliding_bars(M.table(spark, sf, "events"))
+
+
+@query("st03_user_sessions", "user_id start n", "value", sql="SELECT user_id, min(ts) AS start, count(*) AS n, sum(value) AS value FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS i FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, i")
+def _visits(spark, sf):
+    from ..streaming.bars import sessions
+
+    return sessions(M.table(spark, sf, "events"))

@@ -159,14 +159,17 @@ def xlogy_sql(x: str, y: str) -> str:
     return f"CASE WHEN ({x}) = 0 THEN 0 ELSE ({x}) * ln(CASE WHEN ({y}) > 0 THEN ({y}) END) END"
 
 
-def lr_sql(level: float, var: str) -> str:
+def lr_sql(level: float, var: str, source: str = "rw", by: str = "ticker") -> str:
     p = 1 - level
     x = xlogy_sql
     uc = f"-2 * ({x('n - k', repr(1 - p))} + {x('k', repr(p))} - ({x('n - k', '1 - k / n')}) - ({x('k', 'k / n')}))"
     p01, p11, p1 = "n01 / greatest(n00 + n01, 1)", "n11 / greatest(n10 + n11, 1)", "(n01 + n11) / greatest(n00 + n01 + n10 + n11, 1)"
     null = f"{x('n00 + n10', f'1 - {p1}')} + {x('n01 + n11', p1)}"
     alt = f"{x('n00', f'1 - {p01}')} + {x('n01', p01)} + {x('n10', f'1 - {p11}')} + {x('n11', p11)}"
-    return f"SELECT ticker, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS exceptions, k / n AS rate, {uc} AS lr_uc, -2 * (({null}) - ({alt})) AS lr_ind FROM (SELECT ticker, CAST(count(*) AS DOUBLE) AS n, CAST(sum(h) AS DOUBLE) AS k, {', '.join(f'CAST(count(*) FILTER (b = {a} AND h = {c}) AS DOUBLE) AS n{a}{c}' for a in (0, 1) for c in (0, 1))} FROM (SELECT *, lag(h) OVER (ORDER BY session_id) AS b FROM (SELECT *, CASE WHEN -x > v THEN 1 ELSE 0 END AS h FROM (SELECT ticker, session_id, x, lag({var}, 2) OVER (ORDER BY session_id) AS v FROM rw) WHERE v > 0)) GROUP BY ticker)"
+    over = f"OVER (PARTITION BY {by} ORDER BY session_id)"
+    counts = ", ".join(f"CAST(count(*) FILTER (b = {a} AND h = {c}) AS DOUBLE) AS n{a}{c}" for a in (0, 1) for c in (0, 1))
+    hits = f"SELECT *, lag(h) {over} AS b FROM (SELECT *, CASE WHEN -x > v THEN 1 ELSE 0 END AS h FROM (SELECT {by}, session_id, x, lag({var}, 2) {over} AS v FROM {source}) WHERE v > 0)"
+    return f"SELECT {by}, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS exceptions, k / n AS rate, {uc} AS lr_uc, -2 * (({null}) - ({alt})) AS lr_ind FROM (SELECT {by}, CAST(count(*) AS DOUBLE) AS n, CAST(sum(h) AS DOUBLE) AS k, {counts} FROM ({hits}) GROUP BY {by})"
 
 
 query("r15_var_backtest", "ticker n exceptions", "rate lr_uc lr_ind", sql=lr_sql(0.95, f"CASE WHEN c >= {_VW} THEN -q END"), tables=RISK)(lambda s, d: S.var_backtest(_risk(lambda t: S.var_historical(t, "x", 0.95, _VW))(s, d), ("ticker",), "x", "v", 0.95))
@@ -240,3 +243,13 @@ def _concentration(spark, sf):
     return dated(spark, sf).groupBy("strategy").agg(ratio(F.sum(F.when(y.isin(1999, 2000), net)), F.sum(net)).alias("sum_share"), ratio(upto(y <= 2000) - upto(y < 1999), F.product(1 + net) - 1).alias("dollar_share"))
 
 
+
+
+_SW = "(PARTITION BY strategy ORDER BY session_id ROWS BETWEEN 249 PRECEDING AND CURRENT ROW)"
+
+
+@query("r24b_risk_of_benchmarks", "strategy n exceptions", "rate lr_uc lr_ind", sql=lr_sql(0.95, f"CASE WHEN c >= {_VW} THEN -q END", "sw", "strategy"), tables=f"{BENCH}, sw AS (SELECT strategy, session_id, net AS x, count(net) OVER {_SW} AS c, quantile_cont(net, 0.05) OVER {_SW} AS q FROM bt)")
+def _risk_of_benchmarks(spark, sf):
+    """Value-at-risk tests of every benchmark in one plan."""
+    rows = bench_run(spark, sf).withColumn("v", S.var_historical(Trail("strategy"), "net", 0.95, _VW))
+    return S.var_backtest(rows, ("strategy",), "net", "v", 0.95)

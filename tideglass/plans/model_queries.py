@@ -15,8 +15,10 @@ from ..operators import portfolio as P
 from ..operators import resampling as B
 from ..operators import splits as V
 from ..sources import market as M
+from .feature_queries import RANGES, guard, lag
+from .label_queries import lead
 from .metric_queries import bench_run
-from .portfolio_queries import forecasts, market_inputs
+from .portfolio_queries import SHARPE, bt_sql, forecasts, market_inputs
 from .query import query
 
 COLUMNS = ["ret_1", "ret_5", "ret_21", "ret_overnight", "ret_intraday", "rev_z5", "bb_pctb_20", "volume_z"]
@@ -150,7 +152,15 @@ def _paths(spark, sf):
     return bt.groupBy("path").agg(S.sharpe().alias("sharpe"))
 
 
-@query("r24_peer_study", "ticker", "trend buy_hold")
+_STUDY = f"""{RANGES},
+p0 AS (SELECT ticker, session_id, r AS lr, ln({lead('open', 2)}) - ln({lead('open')}) AS r, close * volume AS dollar, CASE WHEN close > {guard('avg({})', 'close', 50)} THEN 1.0 ELSE 0.0 END AS side FROM ranges),
+p1 AS (SELECT *, {guard('stddev_samp({})', 'lr', 63)} AS sigma, {guard('avg({})', 'dollar', 20)} AS a FROM p0),
+p2 AS (SELECT *, {lag('a')} AS adv FROM p1),
+study AS (SELECT ticker || '/' || kind AS strategy, session_id, position, r, sigma, adv FROM (SELECT *, 'trend' AS kind, side AS position FROM p2 UNION ALL SELECT *, 'buy_hold', 1.0 FROM p2) WHERE session_id >= 300 AND sigma IS NOT NULL AND adv IS NOT NULL),
+{bt_sql('study')}"""
+
+
+@query("r24_peer_study", "ticker", "trend buy_hold", sql=f"SELECT split_part(strategy, '/', 1) AS ticker, max(s) FILTER (strategy LIKE '%/trend') AS trend, max(s) FILTER (strategy LIKE '%/buy_hold') AS buy_hold FROM (SELECT strategy, {SHARPE} AS s FROM bt GROUP BY strategy) GROUP BY 1", tables=_STUDY)
 def _peers(spark, sf):
     """The trend rule on every ticker in one plan: the ticker is a key, not a loop."""
     t = Trail()
@@ -161,6 +171,9 @@ def _peers(spark, sf):
     return s.groupBy("ticker").agg(*[F.max(F.when(F.col("strategy") == n, F.col("s"))).alias(n) for n in ("trend", "buy_hold")])
 
 
+query("c10_metadata", "name grp lookback exogenous lag known_ahead")(lambda s, d: s.createDataFrame([(m["name"], m["group"], m["lookback"], m["exogenous"], m["lag"], m["known_ahead"]) for m in X.metadata()], "name string, grp string, lookback int, exogenous boolean, lag int, known_ahead int"))
+
+
 @query("m13_regime_fit", "state", "mean volatility stay")
 def _regime_fit(spark, sf):
     from ..operators.recursions import hmm_fit, regime_inputs
