@@ -149,15 +149,18 @@ class Constant:
 def labelled_sample(docs: DataFrame, table: DataFrame, label: str, sample: int, id_col: str, text_col: str) -> DataFrame:
     """text, label of at most about ``sample`` labelled rows, chosen by a hash of the id.
 
-    The ids are chosen first, among the labels, so that only ``sample`` ids (a
-    parameter) meet the texts, by a broadcast of proven size.
+    The ids are chosen first, among the labels: a parameter's number of them is
+    collected and pushed to the scan as a list, so that a large table is read
+    only where a row group can hold one.
     """
     ids = table.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).cast("double").alias("label"))
-    n = ids.join(docs.select(F.col(id_col).alias("__id")).distinct(), "__id", "left_semi")
+    n = ids.join(docs.select(F.col(id_col).alias("__id")), "__id", "left_semi")
     total = n.count()
     share = min(1.0, sample / total) if total else 0.0
-    chosen = n.where(F.pmod(F.xxhash64("__id", F.lit(17)), F.lit(1 << 24)) < int(share * (1 << 24)) + (share >= 1.0))
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id").select("text", "label")
+    chosen = n.where(F.pmod(F.xxhash64("__id", F.lit(17)), F.lit(1 << 24)) < int(share * (1 << 24)) + (share >= 1.0)).collect()
+    few = docs.sparkSession.createDataFrame(chosen, n.schema)
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    return rows.where(F.col("__id").isin([r["__id"] for r in chosen])).join(F.broadcast(few), "__id").select("text", "label")
 
 
 def fit(docs: DataFrame, table: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, words: int = WORDS) -> Machine | Constant:
