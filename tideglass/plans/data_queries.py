@@ -31,7 +31,7 @@ def _rates(spark, sf):
     return parsers.parse_rates(raw, "rate").groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.avg("rate").alias("rate"))
 
 
-@query("s05_parse_factors", "date", "mkt_rf mom")
+@query("s05_parse_factors", "date", "mkt_rf mom", sql="SELECT date, round(dgs10, 4) / 100 AS mkt_rf, CASE WHEN dgs2 > 4 THEN round(dgs2, 4) / 100 END AS mom FROM macro", tables=f"{BARS}, {M.MACRO_SQL}")
 def _factors(spark, sf):
     """The trades' daily means written as a percent file with prose around it, and read back."""
     daily = M.macro(spark, sf).select("date", F.concat_ws(",", F.date_format("date", "yyyyMMdd"), F.format_string("%.4f", "dgs10"), F.when(F.col("dgs2") > 4, F.format_string("%.4f", "dgs2")).otherwise("-99.99")).alias("value"))
@@ -84,7 +84,7 @@ query("p14_melt", "ticker session_id field", "value", digits=9, sql="SELECT tick
 query("p15_target_rows", "session_id", "close", digits=9, sql="SELECT session_id, close FROM grid WHERE ticker = 'ALL'", tables=GRID)(M.target)
 
 
-@query("p04_perturb", "ticker changed n")
+@query("p04_perturb", "ticker changed n", sql="SELECT ticker, session_id > 1000 AND close IS NOT NULL AS changed, count(*) AS n FROM grid GROUP BY 1, 2", tables=GRID)
 def _perturb(spark, sf):
     """Values after a cut are multiplied by lognormal noise; those before it stay."""
     g = M.grid(spark, sf)

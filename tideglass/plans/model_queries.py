@@ -46,7 +46,13 @@ query("m09_lstm", "model session_id refit", "pred")(_harness({"lstm": ("lstm", {
 query("m16_harness", "model session_id refit", "pred")(_harness({"zero": ("zero", {}), "hist_mean": ("hist_mean", {}), "ar": ("ar", {}), "ridge": ("ridge", {})}, every=252))
 
 
-@query("m04b_ridge_gram", "term", "coef", digits=6)
+_LR = f"""{RANGES}, lr AS (SELECT r AS a, ln(open) - ln({lag('close')}) AS b, ln({lead('open', 2)}) - ln({lead('open')}) AS y, ticker FROM ranges),
+ok AS (SELECT * FROM lr WHERE ticker = 'ALL' AND a IS NOT NULL AND b IS NOT NULL AND y IS NOT NULL),
+st AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, corr(a, b) AS c, covar_pop(a, y) / stddev_pop(a) AS p, covar_pop(b, y) / stddev_pop(b) AS q, 1 + 10.0 / count(*) AS d FROM ok),
+co AS (SELECT *, (d * p - c * q) / (d * d - c * c) / sa AS wa, (d * q - c * p) / (d * d - c * c) / sb AS wb FROM st)"""
+
+
+@query("m04b_ridge_gram", "term", "coef", sql="SELECT 'const' AS term, my - ma * wa - mb * wb AS coef FROM co UNION ALL SELECT 'ret_1', wa FROM co UNION ALL SELECT 'ret_overnight', wb FROM co", tables=_LR)
 def _gram(spark, sf):
     """Ridge of the next return on two features, from one aggregate of products."""
     rows = learning_rows(spark, sf)

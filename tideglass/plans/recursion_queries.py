@@ -48,7 +48,8 @@ _FFD = R.ffd_weights(0.4, 1e-3, 100)
 query("e03_fractional_difference", "session_id", "fd", sql="SELECT session_id, CASE WHEN count(close) OVER w = " + str(len(_FFD)) + " THEN " + " + ".join(f"{c!r} * ln(lag(close, {k}) OVER (ORDER BY session_id))" for k, c in enumerate(_FFD)) + f" END AS fd FROM own WINDOW w AS (ORDER BY session_id ROWS BETWEEN {len(_FFD) - 1} PRECEDING AND CURRENT ROW)", tables=OWN)(lambda s, d: M.target(s, d).withColumn("lc", ln("close")).withColumn("fd", R.frac_diff("lc", 0.4, least=1e-3, most=100)))
 query("e04_regime_filter", "session_id", "p_high")(lambda s, d: R.regime_probability(M.target(s, d)))
 query("c11_fracdiff_feature", "session_id", "fracdiff")(lambda s, d: R.fractional_feature(M.target(s, d)))
-query("c13_walk_forward_fit", "session_id", "z")(
+_REFIT = "least(greatest(CAST(ceil((i - 755) / 252.0) AS BIGINT) - 1, 0), CAST(floor((m - 756) / 252.0) AS BIGINT))"
+query("c13_walk_forward_fit", "session_id", "z", sql="SELECT o.session_id, (o.close - f.mean) / f.sd AS z FROM idx o JOIN (SELECT r.k, avg(p.close) AS mean, stddev_samp(p.close) AS sd FROM (SELECT DISTINCT k FROM idx) r JOIN idx p ON p.i <= 755 + 252 * r.k GROUP BY r.k) f ON f.k = o.k", tables=f"{OWN}, idx AS (SELECT *, {_REFIT} AS k FROM (SELECT session_id, close, n - 1 AS i, count(*) OVER () AS m FROM own))")(
     lambda s, d: R.walk_forward_scan(M.target(s, d).select("ticker", "session_id", "close"), ("ticker",), 252, 756, lambda p: (p["close"].mean(), p["close"].std()), lambda p, m: ((p["close"] - m[0]) / m[1]).to_numpy(), "z")
 )
 query("e05_garch", "model session_id", "var")(lambda s, d: R.garch_forecasts(market_inputs(s, d)).where("var is not null"))
