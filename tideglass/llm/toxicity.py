@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, documents, forget, hash_words, labels, sliced, tidy, written
+from .common import KEPT, bounded_batches, crc_mod, documents, forget, labels, sliced, tidy, written
 from .quality import labelled_sample
 
 SAMPLE, RARE, EPOCHS, HEADS, STREAMS = 8000, 2, 6, (4, 6), 16
@@ -34,15 +35,42 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.05
 PARTED = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
 
+class Families(dict):
+    """Word -> row of the hashes of the word and of its heads; it starts anew beyond ``most`` words."""
+
+    def __init__(self, most: int = 120_000):
+        super().__init__()
+        self.most = most
+        self.rows = np.empty((1024, 1 + len(HEADS)), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        n = len(self)
+        if n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[n] = [xxhash.xxh64_intdigest(word, 0), *(xxhash.xxh64_intdigest(word[:size], size) for size in HEADS)]
+        self[word] = n
+        return n
+
+    def hashes(self, docs: Iterator[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of all words, end to end, and the words of each text."""
+        if len(self) > self.most:
+            self.clear()
+        of = self.__getitem__
+        parts = [np.fromiter(map(of, words), np.int64, len(words)) for words in docs]
+        at = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return self.rows[at], np.array([len(x) for x in parts], np.int64)
+
+
+_FAMILIES = Families()
+KEPT.append(_FAMILIES.clear)
+
+
 def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(32-bit features, owner) of all texts, repeats included, in no order."""
-    words = [t.lower().encode("utf-8", "replace").translate(PARTED).split() for t in texts]
-    one, sizes = hash_words(words)
+    rows, sizes = _FAMILIES.hashes(t.lower().encode("utf-8", "replace").translate(PARTED).split() for t in texts)
     owner = np.repeat(np.arange(len(texts)), sizes)
-    parts, owners = [one], [owner]
-    for size in HEADS:
-        parts.append(hash_words([[w[:size] for w in x] for x in words], seed=size)[0])
-        owners.append(owner)
+    one = rows[:, 0]
+    parts, owners = [*rows.T], [owner] * rows.shape[1]
     for gap in (1, 2, 3):
         if len(one) > gap:
             inside = owner[:-gap] == owner[gap:]
