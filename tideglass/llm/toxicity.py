@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEPT, bounded_batches, crc_mod, documents, forget, labels, sliced, tidy, written
+from .common import KEPT, bounded_batches, crc_mod, crc_unsigned, documents, forget, labels, sliced, tidy, written
 from .quality import labelled_sample
 
 SAMPLE, RARE, EPOCHS, HEADS, STREAMS = 8000, 2, 6, (4, 6), 16
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, table: DataFrame, label: str = "toxic", id_col: str = "
     if not rows:
         return Weights(np.zeros(0, np.uint32), np.zeros(0), -30.0)
     model = Ftrl(len(keys) + 1)
-    first = sorted(range(len(rows)), key=lambda k: (len(rows[k]), rows[k].tobytes()))  # whatever the order of rows
+    first = sorted(range(len(rows)), key=lambda k: (len(rows[k]), crc_unsigned(rows[k].tobytes())))  # whatever the order of rows
     rng = np.random.default_rng(13)
     for _ in range(epochs):
         for k in rng.permutation(first):
