@@ -247,16 +247,18 @@ def pbo(spark: SparkSession, rows: DataFrame, blocks: int = 8, x: str = "net") -
     """
     import itertools
 
-    n = rows.select("strategy").distinct().count()
     full = rows.where(F.col(x).isNotNull())
-    common = full.groupBy("session_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == n).select("session_id", (F.ntile(blocks).over(Window.orderBy("session_id")) - 1).alias("block"))
-    stats = full.join(common, "session_id").groupBy("strategy", "block").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(F.col(x) ** 2).alias("q"))
-    live = full.join(common, "session_id").groupBy("strategy").agg(F.stddev_samp(x).alias("sd")).where("sd > 0").select("strategy")
+    dates = full.groupBy("session_id").agg(F.collect_list(F.struct("strategy", F.col(x).alias("x"))).alias("xs"))  # a date holds each strategy once
+    n = dates.select(F.explode("xs.strategy").alias("strategy")).agg(F.countDistinct("strategy").alias("n"))
+    common = dates.join(F.broadcast(n), F.size("xs") == F.col("n")).select("session_id", "xs", (F.ntile(blocks).over(Window.orderBy("session_id")) - 1).alias("block"))
+    stats = common.select("block", F.inline("xs")).groupBy("strategy", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") ** 2).alias("q"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    w = Window.partitionBy("strategy")
+    stats = stats.withColumn("live", F.max("hi").over(w) > F.min("lo").over(w)).where("live")  # without variance there is no Sharpe
     halves = list(itertools.combinations(range(blocks), blocks // 2))
     member = spark.createDataFrame([(c, b) for c, half in enumerate(halves) for b in half], "combo int, block int").withColumn("inside", F.lit(True))
     every = spark.range(len(halves)).select(F.col("id").cast("int").alias("combo")).crossJoin(spark.range(blocks).select(F.col("id").cast("int").alias("block")))
     sides = F.broadcast(every.join(member, ["combo", "block"], "left").withColumn("inside", F.coalesce("inside", F.lit(False))))
-    part = stats.join(live, "strategy", "left_semi").join(sides, "block").groupBy("combo", "strategy", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    part = stats.join(sides, "block").groupBy("combo", "strategy", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     var = (F.col("q") - F.col("s") ** 2 / F.col("n")) / (F.col("n") - 1)
     sr = part.withColumn("sr", ratio(F.col("s") / F.col("n"), F.sqrt(F.when(var > 1e-300, var))))
     wide = sr.groupBy("combo", "strategy").agg(F.max(F.when(F.col("inside"), F.col("sr"))).alias("is_sr"), F.coalesce(F.max(F.when(~F.col("inside"), F.col("sr"))), F.lit(0.0)).alias("oos_sr"))
