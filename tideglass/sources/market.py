@@ -3,8 +3,9 @@
 A trade is a line item: price = extended price / quantity, day = ship date.
 Tickers are the return flags, and ``ALL`` pools them.  The scan is aggregated
 once to (flag, day), with map-side partial aggregation; the pooled ticker is
-rolled up from those rows, so trades are read and shuffled once.  All later
-windows run on (ticker, session) rows, whose number is bounded by the calendar.
+rolled up from those rows.  The grid adds one scan of two columns for its axes.
+All later windows run on (ticker, session) rows, whose number is bounded by the
+calendar.
 """
 
 from __future__ import annotations
@@ -43,10 +44,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum("qty").alias("volume"), F.min("seq").alias("first"), F.max("seq").alias("last"),
         )
     )
-    pooled = by_flag.groupBy("date").agg(
+    # the flag and the pool are two tickers of one small table, so the trades have one reader
+    both = by_flag.withColumn("ticker", F.explode(F.array("ticker", F.lit(TARGET))))
+    return both.groupBy("ticker", "date").agg(
         F.min_by("open", "first").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last").alias("close"), F.sum("volume").alias("volume")
     )
-    return by_flag.drop("first", "last").unionByName(pooled.withColumn("ticker", F.lit(TARGET)))
 
 
 def sessions(days: DataFrame) -> DataFrame:
@@ -56,8 +58,10 @@ def sessions(days: DataFrame) -> DataFrame:
 
 def on_grid(b: DataFrame) -> DataFrame:
     """Bars on the dense grid of sessions and tickers; missing bars are null."""
-    days = F.broadcast(sessions(b))  # the calendar: bounded by the days there are, whatever the input
-    return b.select("ticker").distinct().crossJoin(days).join(b, ["ticker", "date"], "left").select("ticker", "session_id", "date", "open", "high", "low", "close", "volume")
+    # both axes from one narrow scan: days (a calendar) and names, as two arrays; a day's place is its session
+    axes = b.select("ticker", "date").agg(F.array_sort(F.collect_set("date")).alias("days"), F.collect_set("ticker").alias("names"))
+    cells = axes.select("days", F.explode("names").alias("ticker")).select("ticker", F.posexplode("days").alias("session_id", "date"))
+    return cells.join(b, ["ticker", "date"], "left").select("ticker", F.col("session_id").cast("long").alias("session_id"), "date", "open", "high", "low", "close", "volume")
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
