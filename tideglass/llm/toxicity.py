@@ -130,17 +130,20 @@ def fit(docs: DataFrame, table: DataFrame, label: str = "toxic", id_col: str = "
             raw = both.astype(np.uint32)
             yield pa.record_batch([pa.array([raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), batch.column(1)], names=["keys", "label"])
 
-    # written once and streamed twice, so that the driver holds a part of the sample's features at a time
+    # a few partitions, read one at a time: the driver holds the sample's features once, and counts them in parts
     table = written(labelled_sample(docs, table, label, sample, id_col, text_col).mapInArrow(tidy(run), "keys binary, label double").repartition(STREAMS))
-    keys = _frequent((np.frombuffer(r.keys, np.uint32) for r in table.toLocalIterator()), rare)
-    rows: list[np.ndarray] = []
+    raw: list[np.ndarray] = []
     label_of: list[float] = []
     for r in table.toLocalIterator():
-        row = np.frombuffer(r.keys, np.uint32)
+        raw.append(np.frombuffer(r.keys, np.uint32))
+        label_of.append(r.label)
+    keys = _frequent(raw, rare)
+    rows: list[np.ndarray] = []
+    for k, row in enumerate(raw):
         at = np.minimum(np.searchsorted(keys, row), max(0, len(keys) - 1))
         at = at[keys[at] == row] if len(keys) else at[:0]
         rows.append(np.append(at, len(keys)).astype(np.int32))  # the last is the bias
-        label_of.append(r.label)
+        raw[k] = row[:0].copy()
     forget(table)
     if not rows:
         return Weights(np.zeros(0, np.uint32), np.zeros(0), -30.0)
@@ -155,29 +158,15 @@ def fit(docs: DataFrame, table: DataFrame, label: str = "toxic", id_col: str = "
     return Weights(keys[some], w[some], float(w[-1]))
 
 
-def _frequent(rows: Iterator[np.ndarray], least: int, together: int = 1_000_000) -> np.ndarray:
-    """Features that ``least`` rows or more hold, sorted; counts are merged every ``together`` entries."""
-    keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.uint16)
-    held: list[np.ndarray] = []
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        k, c = np.unique(np.concatenate(held), return_counts=True)
-        both = np.concatenate([keys, k])
-        order = np.argsort(both, kind="stable")
-        both, number = both[order], np.concatenate([counts, c.astype(np.uint16)])[order]
-        start = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-        return both[start], np.minimum(np.add.reduceat(number, start, dtype=np.uint32), 60_000).astype(np.uint16)
-
-    size = 0
-    for row in rows:
-        held.append(row)
-        size += len(row)
-        if size >= together:
-            keys, counts = merged()
-            held, size = [], 0
-    if size:
-        keys, counts = merged()
-    return keys[counts >= least]
+def _frequent(rows: list[np.ndarray], least: int, bits: int = 4) -> np.ndarray:
+    """Features that ``least`` of the sorted rows or more hold, in order; counted by ranges, a sixteenth of them at a time."""
+    out, step = [np.zeros(0, np.uint32)], 1 << (32 - bits)
+    for low in range(0, 1 << 32, step):
+        part = [row[np.searchsorted(row, np.uint32(low)) : np.searchsorted(row, np.uint32(low + step - 1), "right")] for row in rows]
+        if part:
+            k, c = np.unique(np.concatenate(part), return_counts=True)
+            out.append(k[c >= least])
+    return np.concatenate(out)
 
 
 def score(docs: DataFrame, model: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
