@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideglass.llm import exact_dedup, packing, quality, simhash, toxicity
+from tideglass.llm import exact_dedup, jaccard, packing, quality, simhash, toxicity
 from tideglass.llm.common import crc_mod, documents, labels, written
 
 
@@ -30,8 +30,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that SimHash links of three bits or fewer connect one stays, that with the smallest doc_id."""
-    return simhash.deduplicate(docs)
+    """Near copies go: first all but one of those that a Jaccard of 0.8 or more over 5-word shingles connects, then of those that SimHash links of three bits or fewer connect; that with the smallest doc_id stays."""
+    return simhash.deduplicate(written(jaccard.deduplicate(docs)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
