@@ -34,3 +34,10 @@ def test_heavy_hitters_found(spark):
     table = exact_dedup.digests(spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('t', id)) as text"))
     found = exact_dedup.heavy_digests(table.repartition(6), k=8, fan_in=2)
     assert hashlib.sha256(b"hot").digest() in found and len(found) <= 8
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, "a b"), (None, "ab"), (None, "only here"), (2, "ab"), (2, "only there"), (3, "twice"), (3, "twice"), (3, "tw ice"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in exact_dedup.deduplicate(docs).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(1, "a b"), (None, "only here"), (2, "only there"), (3, "tw ice"), (None, "")]))

@@ -9,8 +9,9 @@ digests take the ordinary shuffle, where no key has more than 1/k of the rows.
 
 Defined results: a null text is the empty text; empty texts equal each other;
 of equal texts the one with most code points, then the smallest doc_id (null
-last), stays; doc_id names a document, so rows repeating a doc_id share its
-result; an empty table gives no rows; other columns are not read.
+last), stays; in the marks, rows of one text that repeat a doc_id share its
+result, and deduplicate() keeps one of them; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -110,9 +111,16 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 1024) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    gone = mark(docs, id_col, text_col, k).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    """The rows that stay, with all their columns: one of each text, whatever other rows share its doc_id."""
+    marked = written(mark(docs, id_col, text_col, k).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept"))
+    sha = F.sha2(F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), WHITE, "").cast("binary"), 256)
+    same = lambda other: docs[id_col].eqNullSafe(other["__id"]) & (sha == other["__sha"])
+    # rows that repeat both the text and the doc_id that stays: the longest of them, then by its text
+    twice = marked.where("kept").groupBy("__id", "__sha").count().where("count > 1").select("__id", "__sha")
+    gone = marked.where(~F.col("kept")).select("__id", "__sha").distinct().unionByName(twice)
+    size = F.struct(F.char_length(F.coalesce(docs[text_col], F.lit(""))), docs[text_col])
+    rows = docs.join(twice, same(twice)).groupBy("__sha").agg(F.max_by(F.struct(*[docs[c] for c in docs.columns]), size).alias("__row"))
+    return docs.join(gone, same(gone), "left_anti").unionByName(rows.select("__row.*"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
