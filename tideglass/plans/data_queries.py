@@ -64,6 +64,16 @@ def _data_hash(spark, sf):
     return store.data_hash(o.select(F.col("o_orderkey").cast("string").alias("path"), F.sha2(F.concat("o_orderstatus", F.col("o_custkey").cast("string")).cast("binary"), 256).alias("sha256")))
 
 
+_LINES = "SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) || ':' || sha256(o_orderstatus || CAST(o_custkey AS VARCHAR)) AS line FROM orders"
+
+
+@query("k03_data_hash_all", "data_hash", sql=f"SELECT substr(sha256(string_agg(line, chr(10) ORDER BY part)), 1, 12) AS data_hash FROM (SELECT k // 1000 AS part, sha256(string_agg(line, chr(10) ORDER BY k)) AS line FROM ({_LINES}) GROUP BY 1)")
+def _data_hash_all(spark, sf):
+    """The same over every order."""
+    o = M.table(spark, sf, "orders")
+    return store.data_hash_by_range(o.select("o_orderkey", F.sha2(F.concat("o_orderstatus", F.col("o_custkey").cast("string")).cast("binary"), 256).alias("sha256")), "o_orderkey")
+
+
 query("k01_manifest_stats", "ticker rows first last", sql="SELECT ticker, count(*) AS rows, min(date) AS first, max(date) AS last FROM bars GROUP BY ticker", tables=BARS)(lambda s, d: M.bars(s, d).groupBy("ticker").agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first"), F.max("date").alias("last")))
 CUT, BEGIN = "1998-06-30", "2000-01-01"
 query("p01_truncate", "ticker date", "close", digits=9, sql=f"SELECT ticker, date, close FROM bars WHERE date <= DATE '{CUT}'", tables=BARS)(lambda s, d: M.bars(s, d).where(F.col("date") <= F.to_date(F.lit(CUT))))

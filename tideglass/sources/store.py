@@ -106,6 +106,14 @@ def data_hash(entries: DataFrame, path: str = "path", sha: str = "sha256", digit
     return entries.agg(F.substring(F.sha2(F.concat_ws("\n", F.transform(lines, lambda x: x["line"])).cast("binary"), 256), 1, digits).alias("data_hash"))
 
 
+def data_hash_by_range(entries: DataFrame, key: str, sha: str = "sha256", width: int = 1000, digits: int = 12) -> DataFrame:
+    """One short hash of all ``key:sha`` lines: a digest for each range of ``width`` keys, then one of the digests in order.  No row gathers more than a range, or the digests."""
+    line = F.struct(F.col(key).alias("k"), F.concat_ws(":", F.col(key).cast("string"), sha).alias("line"))
+    joined = lambda c: F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(c)), lambda x: x["line"])).cast("binary"), 256)
+    ranges = entries.groupBy(F.floor(F.col(key) / width).alias("k")).agg(joined(line).alias("line"))
+    return ranges.agg(F.substring(joined(F.struct("k", "line")), 1, digits).alias("data_hash"))
+
+
 def changed(manifest: DataFrame, now: DataFrame) -> DataFrame:
     """Files of the manifest that are missing or differ now."""
     j = manifest.select("path", "sha256").join(now.select("path", F.col("sha256").alias("now")), "path", "left")
