@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideglass.plans import all_queries  # noqa: F401
 from tideglass.plans.query import QUERIES
-from tideglass.sources import store
+from tideglass.sources import market, store
 
 
 def test_hash_of_all_orders(spark, sf_dir):
@@ -25,3 +25,11 @@ def test_any_row_changes_the_hash(spark):
     of = lambda df: store.data_hash_by_range(df, "id").first().data_hash
     one = of(rows)
     assert one == of(rows.repartition(5)) and all(of(rows.withColumn("sha256", F.when(F.col("id") == k, "x").otherwise(F.col("sha256")))) != one for k in (1, 1500, 2999))
+
+
+def test_whole_grid_is_sorted_and_united(spark, sf_dir):
+    grid = sorted((r.date, r.ticker, r.session_id) for r in market.grid(spark, sf_dir).select("date", "ticker", "session_id").collect())
+    got = sorted(tuple(r) for r in QUERIES["o01_sorted_all"].run(spark, sf_dir).collect())
+    assert got == [(k + 1, ticker, session) for k, (_, ticker, session) in enumerate(grid)]
+    both = sorted(tuple(r) for r in QUERIES["o05_union_all_whole"].run(spark, sf_dir).collect())
+    assert both == sorted([(t, s) for _, t, s in grid] * 2)

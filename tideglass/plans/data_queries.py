@@ -172,9 +172,11 @@ query("o02_top_k", "ticker session_id", "move", sql="SELECT ticker, session_id,
     lambda s, d: (lambda t: M.grid(s, d).withColumn("move", F.abs(t.diff(ln("close")))).where("move is not null").withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.round("move", 9).desc(), "session_id"))).where("k <= 20"))(Trail())
 )
 query("o01_sorted", "position ticker session_id", sql="SELECT row_number() OVER (ORDER BY date, ticker) AS position, ticker, session_id FROM grid WHERE date < DATE '1995-02-01'", tables=GRID)(lambda s, d: M.grid(s, d).where("date < date'1995-02-01'").withColumn("position", F.row_number().over(Window.orderBy("date", "ticker"))))
+query("o01_sorted_all", "position ticker session_id", sql="SELECT row_number() OVER (ORDER BY date, ticker) AS position, ticker, session_id FROM grid", tables=GRID)(lambda s, d: positions(M.grid(s, d)))
 query("o03_arg_max", "ticker date", sql="SELECT ticker, min(date) AS date FROM bars b WHERE volume = (SELECT max(volume) FROM bars x WHERE x.ticker = b.ticker) GROUP BY ticker", tables=BARS)(lambda s, d: M.bars(s, d).groupBy("ticker").agg(F.min_by("date", F.struct(-F.col("volume"), F.col("date"))).alias("date")))
 query("o04_union_calendars", "date", sql="SELECT date FROM sessions UNION SELECT date FROM event_days", tables=f"{BARS}, {M.EVENTS_SQL}")(lambda s, d: M.bars(s, d).select("date").union(M.event_days(s, d).select("date")).distinct())
 query("o05_union_all", "ticker session_id", sql="SELECT ticker, session_id FROM grid WHERE session_id < 100 UNION ALL SELECT ticker, session_id FROM grid WHERE session_id < 50", tables=GRID)(lambda s, d: M.grid(s, d).where("session_id < 100").unionByName(M.grid(s, d).where("session_id < 50")))
+query("o05_union_all_whole", "ticker session_id", sql="SELECT ticker, session_id FROM grid UNION ALL SELECT ticker, session_id FROM grid", tables=GRID)(lambda s, d: M.grid(s, d).unionByName(M.grid(s, d)))
 query("o06_intersect", "date", sql="SELECT date FROM bars WHERE ticker = 'A' INTERSECT SELECT date FROM bars WHERE ticker = 'R'", tables=BARS)(lambda s, d: (lambda b: b.where("ticker = 'A'").select("date").intersect(b.where("ticker = 'R'").select("date")))(M.bars(s, d)))
 query("o07_except", "date", sql="SELECT date FROM sessions EXCEPT SELECT date FROM event_days", tables=f"{BARS}, {M.EVENTS_SQL}")(lambda s, d: M.bars(s, d).select("date").subtract(M.event_days(s, d).select("date")))
 query("o08_keep_first_last", "o_custkey first last", sql="SELECT o_custkey, arg_min(o_orderkey, row(o_orderdate, o_orderkey)) AS first, arg_max(o_orderkey, row(o_orderdate, o_orderkey)) AS last FROM orders GROUP BY o_custkey")(
@@ -186,6 +188,13 @@ query("st01_hourly_bars", "event_type hour n", OHLCV, digits=9, sql="SELECT even
 )
 
 
+def positions(grid):
+    """Row numbers in order of date and ticker: the rows of earlier dates (the calendar bounds them), and the rank within the date."""
+    before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = grid.groupBy("date").agg(F.count(F.lit(1)).alias("n")).select("date", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    return grid.join(F.broadcast(earlier), "date").withColumn("position", F.col("earlier") + F.row_number().over(Window.partitionBy("date").orderBy("ticker")))
+
+
 def hourly(events):
     from ..streaming.bars import hourly_bars
 
