@@ -58,3 +58,18 @@ def test_query(docs, texts, edge, empty):
         assert {n for line, n in lines.items() if line in t} <= set(found[i])
     assert all(r.matches == [] for r in L.scan(edge).collect()) and L.scan(edge).count() == edge.count()
     assert L.scan(empty).collect() == []
+
+
+def test_siblings_are_told_apart():
+    s = L.Scanner()
+    gpl3, gpl2 = L.TEMPLATES["GPL-3.0-or-later"][0], L.TEMPLATES["GPL-2.0-or-later"][0]
+    named = lambda text: [m[0] for m in s.scan(["x y z " + text + " x y z"])[0]]
+    assert named(gpl3) == ["GPL-3.0-or-later"] and named(gpl2) == ["GPL-2.0-or-later"]
+    assert named(gpl3.replace("General", "Affero General")) == ["AGPL-3.0-or-later"]
+    assert named(gpl3.replace("General", "Lesser General").replace("program", "library")) == ["LGPL-3.0-or-later"]
+    assert named(gpl2.replace("General", "Lesser General").replace("version 2", "version 2.1").replace("program", "library")) == ["LGPL-2.1-or-later"]
+    two = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    three = " 3. Neither the name of Some Firm Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    end = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES'
+    assert named(two + end) == named(two) == ["BSD-2-Clause"]
+    assert named(two + three + end) == ["BSD-3-Clause"]
