@@ -11,7 +11,6 @@ from tideglass.llm import packing
 
 def slow_pieces(rows, capacity=2048):
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     out = []
     for i, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -98,3 +97,25 @@ def test_plan_does_not_walk_items():
     patterns = packing.plan(counts, 2048)
     assert len(patterns) < 100
     assert sum(times for _, times in patterns) <= 1.05 * sum(n * c for n, c in counts.items()) / 2048
+
+
+ADDED = ["a <|startoftext|> b", "x<|endoftext|>.y <|endoftext|", "A <|StartOfText|> <|ENDOFTEXT|>", "<|endoftext|><|startoftext|>", "don<|endoftext|>'t\u0301 <|endoftext|> \u0301e", "plain <| startoftext |> text"]
+
+
+def test_added_tokens_as_the_library_has_them():
+    """The library as its file sets it up; a text may hold its added tokens."""
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    words = packing.WordTokens(packing.default_tokenizer())
+    assert words.by_word
+    for text in ADDED:
+        assert np.frombuffer(words.ids(text.encode()), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert 49406 in np.frombuffer(words.ids(ADDED[0].encode()), "<u4") and 49407 in np.frombuffer(words.ids(ADDED[1].encode()), "<u4")
+
+
+def test_other_tokenizers_take_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words, plain = packing.WordTokens(path), Tokenizer.from_file(path)
+    text = "  Two  words,\n\tand <|endoftext|> more "
+    assert not words.by_word and np.frombuffer(words.ids(text.encode()), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids

@@ -23,6 +23,7 @@ and ids are pieces of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from bisect import bisect_left, insort
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import KEPT, bounded_batches, crc_unsigned, documents, sliced, text_bytes, tidy, written
 
 CAPACITY, END_ID = 2048, 0
+# Fixed value: the split of a tokenizer whose units WordTokens knows.
+WORD_SPLIT = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -49,11 +52,13 @@ def _byte_letters() -> dict[int, str]:
 class WordTokens(dict):
     """White-space-free piece of text -> its ids as little-endian unsigned 32-bit bytes, by the ``tokenizers`` library.
 
-    This tokenizer drops white space and never merges across it, so a text's ids
-    are its words' ids, end to end.  Most words are marks, Latin letters, marks:
-    after lower-casing each run is one unit for the library's model, and units
-    are kept too.  All others go through the whole tokenizer.  ``most`` bounds
-    the words kept.
+    A tokenizer that lower-cases, drops white space and never merges across it
+    gives a text the ids of its words, end to end.  Most words are marks, Latin
+    letters, marks: after lower-casing each run is one unit for the library's
+    model, and units are kept too.  All others, and those that hold the text of
+    an added token, go through the whole tokenizer.  ``most`` bounds the words
+    kept.  Whether the file is such a tokenizer is read from it; if it is not,
+    every text goes through the library as a whole.
     """
 
     MARKS = "[!-&(-/:-@\\[-`{-~]*"
@@ -66,10 +71,30 @@ class WordTokens(dict):
 
         self.most = most
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.added = [x["content"].encode() for x in told["added_tokens"]]
+        self.by_word = self._by_word(told)
         self.tokenize = self.tokenizer.model.tokenize
         self.units: dict[str, bytes] = {"": b""}
 
+    @staticmethod
+    def _by_word(told: dict) -> bool:
+        """Whether a text's ids are those of its words: normaliser, split and added tokens as this class assumes them."""
+        norms = (told["normalizer"] or {}).get("normalizers", [])
+        pre = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        split, white = pre[0], [x for x in norms if x["type"] == "Replace"]
+        return (
+            [x["type"] for x in norms] == ["NFC", "Replace", "Lowercase"]
+            and (white[0]["pattern"], white[0]["content"]) == ({"Regex": "\\s+"}, " ")
+            and [x["type"] for x in pre] == ["Split", "ByteLevel"]
+            and (split["pattern"], split["behavior"], split["invert"]) == (WORD_SPLIT, "Removed", True)
+            and not pre[1]["add_prefix_space"]
+            and not pre[1]["use_regex"]
+            and told["model"]["type"] == "BPE"
+            and not any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] or len(x["content"].split()) != 1 or x["content"] != x["content"].strip() for x in told["added_tokens"])
+        )
+
     def unit(self, text: str) -> bytes:
         got = self.units.get(text)
         if got is None:
@@ -84,7 +109,9 @@ class WordTokens(dict):
             self.clear()
         text = word.decode().lower()
         core = text.rstrip(".,!?;:|")
-        if core.isascii() and core.isalpha():
+        if any(x in word for x in self.added):
+            got = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        elif core.isascii() and core.isalpha():
             got = self.unit(core) + self.unit(text[len(core) :])
         elif found := self.SIMPLE.fullmatch(text):
             got = b"".join(map(self.unit, found.groups()))
@@ -94,6 +121,8 @@ class WordTokens(dict):
         return got
 
     def ids(self, text: bytes) -> bytes:
+        if not self.by_word:
+            return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, text.split()))
 
 
