@@ -77,3 +77,26 @@ def test_edges(spark, edge, empty):
     near = " ".join(f"w{k}" for k in range(100))
     odd = spark.createDataFrame([(None, near + " end"), (5, near), (5, "another text that nothing is like"), (None, "a third that stays")], "doc_id long, text string")
     assert {(r.doc_id, r.text) for r in jaccard.deduplicate(odd).collect()} == {(5, near), (5, "another text that nothing is like"), (None, "a third that stays")}
+
+
+def test_outsiders_of_a_large_group(spark):
+    """One large group with outsiders, most alike to none, some to one member only through words that few share: the cluster join loses no link and adds none."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(420):
+        now = list(words)
+        for _ in range(rng.choice([2, 3, 4, 5, 6, 8, 10])):
+            now[rng.randrange(120)] = f"x{rng.randrange(40)}" if k % 3 else f"x{rng.randrange(10**6)}"
+        rows.append((len(rows), " ".join(now)))
+    for k in range(0, 60, 2):  # pairs far from the group but near each other
+        now = list(words)
+        for p in rng.sample(range(120), 14):
+            now[p] = f"y{k}_{p}"
+        rows.append((len(rows), " ".join(now)))
+        now[rng.randrange(120)] = "z"
+        rows.append((len(rows), " ".join(now)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = expected(rows)
+    assert 40 < len(want) < len(rows) - 40
+    assert sorted(r.doc_id for r in jaccard.deduplicate(docs).collect()) == want

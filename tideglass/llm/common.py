@@ -34,10 +34,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set (local tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where none is set and the master is local (tests)."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if at is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tideglass-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
@@ -48,18 +50,69 @@ def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: cuts lineage, survives lost executors, is read again in columns."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of written() that are still there.
+_WRITTEN: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _WRITTEN.remove(path)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table that written() made and no later plan reads."""
-    spark = df.sparkSession
-    root = shared_dir(spark).rstrip("/").removeprefix("file:").lstrip("/")
-    for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        if root in path:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    read = {os.path.basename(os.path.dirname(f)) for f in df.inputFiles()}
+    for path in [x for x in _WRITTEN if os.path.basename(x) in read]:
+        _delete(df.sparkSession, path)
+
+
+def held_tables() -> frozenset[str]:
+    """The tables of written() at this moment, for sweep()."""
+    return frozenset(_WRITTEN)
+
+
+def sweep(spark: SparkSession, before: frozenset[str], *keep: DataFrame) -> None:
+    """Delete what written() made since ``before`` and no later plan reads, but for the tables in ``keep``."""
+    kept = {os.path.basename(os.path.dirname(f)) for df in keep for f in df.inputFiles()}
+    for path in [x for x in _WRITTEN if x not in before and os.path.basename(x) not in kept]:
+        _delete(spark, path)
+
+
+def buckets(spark: SparkSession, size: float, each: float, most: int = 20_000) -> int:
+    """Partitions for an exchange of ``size`` (rows or bytes) at ``each`` of them: the session's number at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(most, int(size / each)), 1)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of a table's bytes; 0 where it has none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return size if size < 1 << 60 else 0
+
+
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first of them, cut so that no key is split; a key's parts are joined once."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(now[0]):
+            continue
+        if held and now[0][-1] == held[-1][0][-1]:  # the key goes on
+            held.append(now)
+            continue
+        last = int(np.searchsorted(now[0], now[0][-1]))
+        held.append([x[:last] for x in now])
+        whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+        if len(whole[0]):
+            yield whole
+        held = [[x[last:] for x in now]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def crc_mod(column: str, n: int) -> F.Column:

@@ -3,11 +3,20 @@
 SimHash at three bits reaches only almost equal texts, and no radius that a
 multi-index can serve reaches a Jaccard of 0.8 (some ten bits of 64).  So
 candidates come from MinHash, 48 bands of six values: a pair at 0.8 shares no
-band with probability 5e-7.  Every candidate that decides anything is then
-compared shingle by shingle.  Equal sets collapse to one node before that, and
-a bucket is first linked along a few chains; afterwards only pairs that are
-not yet connected are compared, so a large group of copies does not cost all
-its pairs.
+band with probability 5e-7.  Every candidate that decides anything is compared
+shingle by shingle.  Equal sets collapse to one node before that.
+
+Which candidates decide anything: first a bucket is linked along chains, in
+parts of ``SMALL`` nodes, so the members of a group of copies find together.
+Then only pairs of different groups are left.  In a bucket of SMALL nodes or
+fewer they are all compared.  Larger buckets that share nodes make a cluster,
+and its pairs come from a lossless join: let p be the shingles that over half
+of a cluster's sets hold.  Of two sets x and y, at most min(|x&p|, |y&p|)
+shingles of p are common, so a pair that reaches the bound either reaches it
+within p, or shares one of the shingles outside p.  Of those, sorted by rarity
+in the cluster, x need look up only as many as a partner may lack.  Sets that
+hang together only through p, which make up a large group's pairs, are so
+never met one by one.
 
 Defined results: words are split at ASCII white space and A-Z are lower-cased;
 fewer words than a shingle make one shingle; null, empty and white texts are
@@ -26,14 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, sliced, text_bytes, tidy, written
+from .common import bounded_batches, buckets, by_key, forget, held_tables, sliced, sweep, text_bytes, tidy, written
 from .components import components
 from .simhash import shingle_hashes
 
 WORDS, LEAST = 5, 0.8
 BANDS, DEPTH = 48, 6
-#: Bands whose chains are tried before anything else.
-FIRST = 3
+#: Bands whose chains are tried before anything else, and the nodes of a bucket that are compared with each other.
+FIRST, SMALL = 3, 64
 
 _RNG = np.random.default_rng(42)
 _XOR, _ODD = (_RNG.integers(0, 2**64, (BANDS * DEPTH, 1), dtype=np.uint64) for _ in range(2))
@@ -90,60 +99,97 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("node", "text").mapInArrow(tidy(run), "node long, found array<long>")
 
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of rows sorted by their first, cut so that no key is split."""
-    rest: list[np.ndarray] | None = None
-    for batch in batches:
-        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-        if not len(now[0]):
-            continue
-        last = int(np.searchsorted(now[0], now[0][-1]))
-        if last:
-            yield [x[:last] for x in now]
-        rest = [x[last:] for x in now]
-    if rest is not None and len(rest[0]):
-        yield rest
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, size, band) sorted by key -> those of keys with two nodes or more."""
-    for key, node, size, band in _by_key(batches):
-        same = key[1:] == key[:-1]
-        many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        if many.any():
-            yield pa.record_batch([pa.array(x[many]) for x in (key, node, size, band)], names=["key", "node", "size", "band"])
-
-
-def _pairs(least: float, chain: bool, block: int = 512):
+def _pairs(least: float, chain: bool):
     """Rows (key, node, size, group) sorted by key -> pairs (a, b) of different groups whose sizes allow ``least``: neighbours, or all."""
 
-    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, size, group in _by_key(batches):
-            if chain:
-                ok = (key[1:] == key[:-1]) & (group[1:] != group[:-1]) & (np.minimum(size[1:], size[:-1]) >= least * np.maximum(size[1:], size[:-1]) - 1e-9)
-                if ok.any():
-                    yield out(node[:-1][ok], node[1:][ok])
-                continue
+        for key, node, size, group in by_key(batches):
             cuts = np.flatnonzero(np.diff(key)) + 1
-            for low, high in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                if (group[low:high] == group[low]).all():
-                    continue
-                for i in range(low, high, block):
-                    for j in range(i, high, block):
-                        x, y = slice(i, min(i + block, high)), slice(j, min(j + block, high))
-                        ok = (group[x, None] != group[None, y]) & (np.minimum(size[x, None], size[None, y]) >= least * np.maximum(size[x, None], size[None, y]) - 1e-9)
-                        left, right = np.nonzero(np.triu(ok, 1) if i == j else ok)
-                        if len(left):
-                            yield out(node[x][left], node[y][right])
+            for low, high in [(0, len(key))] if chain else zip([0, *cuts], [*cuts, len(key)], strict=True):
+                i, j = (np.arange(low, high - 1), np.arange(low + 1, high)) if chain else (low + x for x in np.triu_indices(high - low, 1))
+                ok = (key[i] == key[j]) & (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9)
+                if ok.any():
+                    a, b = node[i[ok]], node[j[ok]]
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
 
+def _need(x: F.Column, y: F.Column, least: float) -> F.Column:
+    """Shingles that sets of these sizes must share."""
+    return F.ceil(F.lit(least / (1 + least)) * (x + y) - 1e-9)
+
+
+def _clusters(large: DataFrame) -> DataFrame:
+    """Rows (key, node) of large buckets -> node, cluster: buckets that share nodes are one cluster."""
+    first = large.groupBy("node").agg(F.min("key").alias("first"))
+    # a node ties its buckets to the first of them; the number of distinct ties is that of buckets, at most times bands
+    ties = large.join(first, "node").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    of = components(ties).withColumnRenamed("component", "cluster")
+    return first.join(of, first["first"] == of["node"], "left").select(first["node"], F.coalesce("cluster", "first").alias("cluster"))
+
+
+def _outlined(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members (cluster, node, group, size) of clusters that hold several groups -> cluster, node, size, smallest (of the cluster), core (shingles in p), rare (the others, by rarity)."""
+    own = members.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"))
+    stats = written(own.groupBy("cluster").agg(F.sum("n").alias("nodes"), F.min("least").alias("smallest"), F.count(F.lit(1)).alias("groups")).where("groups > 1"))
+    some = members.join(stats, "cluster").select("cluster", "node", "size", "nodes", "smallest")
+    words = written(some.join(sets, "node").select("cluster", "node", "size", "nodes", "smallest", F.explode("found").alias("s")))
+    # a table of its own: a shingle of half a cluster then splits by size, not by key
+    often = written(words.groupBy("cluster", "s").agg(F.count(F.lit(1)).alias("df")))
+    told = words.join(often, ["cluster", "s"])
+    core = 2 * F.col("df") > F.col("nodes")
+    known = written(told.groupBy("cluster", "node", "size", "smallest").agg(F.count(F.when(core, 1)).alias("core"), F.sort_array(F.collect_list(F.when(~core, F.struct("df", "s")))).alias("rare")))
+    for table in (stats, words, often):
+        forget(table)
+    return known
+
+
+def _asking(known: DataFrame) -> DataFrame:
+    """Rows with ``group`` -> the same with ``asks``: whether a node is outside the largest group of its cluster."""
+    own = known.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("n"))
+    main = written(own.groupBy("cluster").agg(F.max(F.struct("n", "group")).alias("most")).select("cluster", F.col("most.group").alias("main")))
+    return known.join(main, "cluster").withColumn("asks", F.col("group") != F.col("main")).drop("main")
+
+
+def _alike_in_size(least: float) -> F.Column:
+    return F.least("size_x", "size_y") >= F.lit(least) * F.greatest("size_x", "size_y") - 1e-9
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
+def _nearest(known: DataFrame, least: float) -> DataFrame:
+    """Pairs of every asking set with that of its cluster's main group that lies nearest to p."""
+    best = known.where("not asks").groupBy("cluster").agg(F.max_by(F.struct("node", "size"), F.struct(2 * F.col("core") - F.col("size"), F.col("node"))).alias("best"))
+    best = written(best.select("cluster", F.col("best.node").alias("node_y"), F.col("best.size").alias("size_y")))
+    return _ordered(known.where("asks").select("cluster", F.col("node").alias("node_x"), F.col("size").alias("size_x")).join(best, "cluster").where(_alike_in_size(least)))
+
+
+def _possible(known: DataFrame, least: float) -> DataFrame:
+    """All pairs of an asking set and one of another group of its cluster that can be alike."""
+    side = lambda c, more: known.select("cluster", *[F.col(k).alias(f"{k}_{c}") for k in ("node", "group", "size", "core", *more)])
+    x, y = side("x", ("asks", "rare", "smallest")).where("asks_x"), side("y", ())
+    sized, both = _alike_in_size(least), _need(F.col("size_x"), F.col("size_y"), least)
+    # the least that any partner could ask of x, hence how many of its rare shingles a partner may lack
+    partner = F.greatest(F.ceil(F.lit(least) * F.col("size_x") - 1e-9), F.col("smallest_x"))
+    asked = _need(F.col("size_x"), partner, least)
+    looked = F.size("rare_x") + 1 - F.greatest(F.lit(1), asked - F.col("core_x"))
+    probes = x.where(looked > 0).select("*", F.posexplode(F.slice("rare_x", 1, looked.cast("int"))).alias("at", "w")).withColumn("s", F.col("w.s"))
+    probes = probes.select("cluster", "s", "node_x", "group_x", "size_x", "core_x", F.size("rare_x").alias("n_rare"), "at")
+    index = known.select("cluster", F.col("node").alias("node_y"), F.col("group").alias("group_y"), F.col("size").alias("size_y"), F.col("core").alias("core_y"), F.explode("rare.s").alias("s"))
+    lack = F.col("n_rare") - F.greatest(F.lit(1), both - F.least("core_x", "core_y"))
+    met = (probes["cluster"] == index["cluster"]) & (probes["s"] == index["s"])
+    rare = probes.join(index, met & (F.col("group_x") != F.col("group_y")) & sized & (F.col("at") <= lack))
+    # pairs that can reach the bound within p are found by the few (size, core) that a cluster has
+    kinds = written(y.groupBy("cluster", "size_y", "core_y").agg(F.count(F.lit(1)).alias("n")))
+    able = x.where(F.col("core_x") >= asked)
+    able = able.join(kinds, (able["cluster"] == kinds["cluster"]) & sized & (F.least("core_x", "core_y") >= both)).select(able["cluster"], "node_x", "group_x", "size_y", "core_y")
+    within = able.join(y, ["cluster", "size_y", "core_y"]).where("group_x <> group_y")
+    return _ordered(rare.select("node_x", "node_y").unionByName(within.select("node_x", "node_y")))
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs whose sets' Jaccard is at least ``least``."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b")
@@ -155,26 +201,48 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, mark, node) of every row; (node, component) of every node that a link reaches."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    before = held_tables()
     rows = _keyed(docs, id_col, text_col)
     table = written(_sketches(rows, words))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     nodes = table.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
-    keyed = nodes.select("node", "size", F.posexplode("bands").alias("band", "key")).select("key", "node", "size", F.col("band").cast("long").alias("band"))
-    buckets = written(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidy(_shared), "key long, node long, size long, band long"))
+    keyed = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1"))
+    # a large bucket is dealt out in parts of about SMALL nodes, another way in each bucket
+    part = F.xxhash64("node", "key") % F.ceil(F.col("nodes") / SMALL)
+    met = written(keyed.join(shared, "key").withColumn("part", F.when(F.col("nodes") > SMALL, F.xxhash64("key", part)).otherwise(F.col("key"))))
     # one text of each node that has a candidate
-    best = table.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("one")).select("node", "one.*")
+    best = table.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("one")).select("node", "one.*")
     texts = rows.alias("r").join(best.alias("b"), F.col("r.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("r.mark") == F.col("b.mark"))).select("node", "text")
     sets = written(_sets(texts, words).dropDuplicates(["node"]))
-    found = parts = None
-    for chain, of in ((True, FIRST), (True, BANDS), (False, BANDS)):
-        now = buckets.where(F.col("band") < of)
-        now = now.withColumn("group", F.col("node")) if parts is None else now.join(parts, "node", "left").withColumn("group", F.coalesce("component", "node"))
-        # each bucket has an order of its own, so chains through several are not the same
-        now = now.select("key", "node", "size", "group").repartition(n, "key").sortWithinPartitions("key", F.xxhash64("node", "key"))
-        pairs = now.mapInArrow(tidy(_pairs(least, chain)), "a long, b long").distinct()
-        more = written(_alike(pairs, sets, least))
-        found = more if found is None else found.unionByName(more)
-        parts = components(found)
+    n = buckets(spark, met.count(), 500_000)
+    found: list[DataFrame] = []
+
+    def grouped(df: DataFrame, parts: DataFrame | None) -> DataFrame:
+        return df.withColumn("group", F.col("node")) if parts is None else df.join(parts, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Compare; the groups that all links so far make."""
+        found.append(written(_alike(pairs, sets, least)))
+        links = found[0]
+        for more in found[1:]:
+            links = links.unionByName(more)
+        return components(links)
+
+    def in_buckets(df: DataFrame, chain: bool) -> DataFrame:
+        dealt = df.select("part", "node", "size", "group").repartition(n, "part").sortWithinPartitions("part", F.xxhash64("node", "part"))
+        return dealt.mapInArrow(tidy(_pairs(least, chain)), "a long, b long").distinct()
+
+    parts = None
+    for chain, some in ((True, met.where(F.col("band") < FIRST)), (True, met), (False, met.where(F.col("nodes") <= SMALL))):
+        parts = linked(in_buckets(grouped(some, parts), chain))
+    large = met.where(F.col("nodes") > SMALL).select("key", "node")
+    if large.take(1):
+        members = _clusters(written(large)).join(sets.select("node", F.size("found").alias("size")), "node")
+        outlined = _outlined(written(grouped(members, parts)), sets)
+        parts = linked(_nearest(_asking(grouped(outlined, parts)), least))
+        parts = linked(_possible(written(_asking(grouped(outlined, parts))), least))
+    parts = written(parts)
+    sweep(spark, before, table, parts)
     return table.select("doc_id", "mark", "node"), parts
 
 
