@@ -9,6 +9,12 @@ differ by one bit is met from the side that has the bit set, so the ball needs
 only those flips.  Copies collapse to one fingerprint before any lookup, and a
 table bucket yields a spanning forest of its links, never all pairs.
 
+A bucket in which over ``CROWDED`` fingerprints are stored is indexed once
+more by its other segment, in two halves: at three bits or fewer one half
+differs in at most one, so the ball of radius 1 around each half finds all.
+Such a smaller bucket has three quarters of its bits fixed and holds 65,536
+fingerprints at most, whatever the table.
+
 Defined results: null and empty texts have fingerprint zero and are linked
 like any other; fewer words than a shingle make one shingle; rows repeating a
 doc_id are separate rows with equal results; ids are integers below 2^62, and
@@ -26,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, sliced, text_bytes, tidy, written
+from .common import bounded_batches, buckets, by_key, documents, sliced, text_bytes, tidy, written
 from .components import components
 
 WORDS, RADIUS, SEED = 3, 3, 42
 #: Numbers from here on stand for fingerprints of rows without an id.
 NO_ID = 1 << 62
+#: Stored fingerprints of a bucket from which on it is indexed by its other segment too.
+CROWDED = 8_192
 
 
 def shingle_hashes(text: bytes, words: int = WORDS) -> list[int]:
@@ -106,53 +114,64 @@ def _links(radius: int):
     def bucketed(key: np.ndarray, fp: np.ndarray, stored: np.ndarray) -> Iterator[tuple[int, int]]:
         cuts = np.flatnonzero(np.diff(key)) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
-        held = np.add.reduceat(stored.astype(np.int64), starts) if len(key) else np.zeros(0, np.int64)
+        held = np.add.reduceat(stored.astype(np.int64), starts)
         for k in np.flatnonzero((held > 0) & (ends - starts > 1)):
-            part, mine = fp[starts[k] : ends[k]], stored[starts[k] : ends[k]]
+            part, mine = fp[starts[k] : ends[k]].view(np.uint64), stored[starts[k] : ends[k]]
             yield from _bucket_links(part[mine], part[~mine], radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-
-        def out(pairs: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-            got = np.array(list(pairs), np.uint64).reshape(-1, 2).view(np.int64)
+        for columns in by_key(batches):
+            got = np.array(list(bucketed(*columns)), np.uint64).reshape(-1, 2).view(np.int64)
             if len(got):
                 yield pa.record_batch([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["a", "b"])
 
-        for batch in batches:
-            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            if not len(now[0]):
-                continue
-            last = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on in the next batch
-            yield from out(bucketed(*(x[:last] for x in now)))
-            rest = [x[last:] for x in now]
-        if rest is not None:
-            yield from out(bucketed(*rest))
-
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, fp_col: str = "fp") -> DataFrame:
-    """Links (a, b) that connect what pairs of distinct fingerprints within ``radius`` 3 bits connect."""
+def _flips(value: F.Column, bits: int, set_only: bool) -> F.Column:
+    """The value with each of its bits flipped in turn, or only with each set bit cleared."""
+    masks = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
+    return F.transform(F.filter(masks, lambda m: value.bitwiseAND(m) != 0) if set_only else masks, lambda m: value.bitwiseXOR(m))
+
+
+def _indexed_again(rows: DataFrame) -> DataFrame:
+    """Rows (key, fp, stored) of crowded buckets -> the same under smaller keys: the bucket with a half of the other segment, asked for under its ball too.
+
+    Equal hashes of different smaller keys only make more candidates, which are verified.
+    """
+    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
+    other = F.when(F.shiftrightunsigned("key", 32) > 0, F.shiftrightunsigned("fp", 32)).otherwise(low)  # the low segment's keys carry bit 32
+    halves = [(F.lit(0), F.shiftrightunsigned(other, 16)), (F.lit(1), other.bitwiseAND(F.lit(0xFFFF)))]
+    smaller = lambda of: F.array(*[F.struct(which.alias("which"), half.alias("half")) for which, half in of])
+    stored = rows.where("stored").select("key", "fp", "stored", F.explode(smaller(halves)).alias("at"))
+    # stored fingerprints ask as well: their own segment is equal, the other need not be
+    marked = lambda which: lambda half: F.struct(which.alias("which"), half.alias("half"))
+    balls = F.concat(*[F.transform(_flips(half, 16, False), marked(which)) for which, half in halves])
+    exact = rows.where(~F.col("stored")).select("key", "fp", "stored", F.explode(smaller(halves)).alias("at"))
+    around = rows.select("key", "fp", F.lit(False).alias("stored"), F.explode(balls).alias("at"))
+    return stored.unionByName(exact).unionByName(around).select(F.xxhash64("key", "at.which", "at.half").alias("key"), "fp", "stored")
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, fp_col: str = "fp", crowded: int = CROWDED) -> DataFrame:
+    """Links (a, b) that connect what pairs of distinct fingerprints within ``radius`` 3 bits connect.  ``distinct`` is a written table."""
     if not 0 <= radius <= 3:
         raise ValueError("two segments with balls of radius 1 find links of 3 bits or fewer")
+    spark = distinct.sparkSession
     fp = F.col(fp_col)
     halves = [F.shiftrightunsigned(fp, 32), fp.bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(1 << 32))]
-    bits = F.sequence(F.lit(0), F.lit(31))
-
-    def cleared(half: F.Column) -> F.Column:
-        """The segment with each of its set bits cleared in turn."""
-        masks = F.transform(bits, lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
-        return F.transform(F.filter(masks, lambda m: half.bitwiseAND(m) != 0), lambda m: half.bitwiseXOR(m))
-
-    flips = [cleared(h) for h in halves]
     stored = distinct.select(F.explode(F.array(*halves)).alias("key"), fp.alias("fp"), F.lit(True).alias("stored"))
-    asking = distinct.select(F.explode(F.concat(*flips)).alias("key"), fp.alias("fp"), F.lit(False).alias("stored"))
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored.unionByName(asking).repartition(n, "key").sortWithinPartitions("key")
-    return rows.mapInArrow(tidy(_links(radius)), "a long, b long").distinct()
+    asking = distinct.select(F.explode(F.concat(*[_flips(h, 32, True) for h in halves])).alias("key"), fp.alias("fp"), F.lit(False).alias("stored"))
+    # the low segment's mark, bit 32, is none of its bits, so no flip clears it
+    full = written(stored.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("key"))
+    n = buckets(spark, distinct.count(), 100_000)
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidy(_links(radius)), "a long, b long")
+
+    if not full.take(1):
+        return met(stored.unionByName(asking)).distinct()
+    rows = stored.unionByName(asking)
+    return met(rows.join(full, "key", "left_anti")).unionByName(met(_indexed_again(rows.join(full, "key", "left_semi")))).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
