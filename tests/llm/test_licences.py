@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 import pytest
@@ -73,3 +74,43 @@ def test_siblings_are_told_apart():
     end = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES'
     assert named(two + end) == named(two) == ["BSD-2-Clause"]
     assert named(two + three + end) == ["BSD-3-Clause"]
+
+
+BSD_2 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS"
+
+#: Notices that lie near a template of another licence, and what they are (None: nothing here names them).
+NEAR = [
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "LGPL-3.0-or-later"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "AGPL-3.0-or-later"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+    ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"),
+    ("Licensed under CC BY 3.0.", "CC-BY-3.0"),
+    ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "CC-BY-3.0"),
+    ("Licensed under CC BY 1.0.", None),
+    ("Licensed under the Apache Software License, Version 1.1.", "Apache-1.1"),
+    ("Licensed under the Apache License, Version 1.1.", "Apache-1.1"),
+    ("This work is not licensed under the GNU General Public License, version 3.", None),
+    ("The work is never licensed under the GNU General Public License, version 2.", None),
+    ("This work is licensed under the GNU Library General Public License, version 2.", None),
+    (BSD_2, "BSD-2-Clause"),
+]
+
+
+@pytest.mark.parametrize(("text", "name"), NEAR)
+def test_neighbouring_licences(text, name):
+    assert [m[0] for m in L.Scanner().scan(["x y z. " + text + " x y z"])[0]] == ([name] if name else [])
+
+
+def test_many_notices_in_one_text():
+    s = L.Scanner()
+    s.scan(["warm"])
+    began = time.perf_counter()
+    got = s.scan([("x " + L.TEMPLATES["MIT"][1] + " y\n") * 40])[0]
+    assert time.perf_counter() - began < 0.5
+    assert [m[:2] for m in got] == [("MIT", 1.0)] * 40
+
+
+def test_runner_up_is_told():
+    got = L.Scanner({"A": ["one two three four five six seven eight"], "B": ["one two three four five six seven nine"]}).scan(["one two three four five six seven nine"])[0]
+    assert [(m[0], m[4]) for m in got] == [("B", "A")] and got[0][5] < got[0][1] == 1.0
