@@ -9,8 +9,10 @@ of all its occurrences.  These edges are put in order of position and length.
 Then they are relaxed.  Shortest paths would be right for a unigram model; a
 BPE's segmentation is the one that merging leads to, so edges are relaxed in
 the order of merges: in every unit the best edge that joins two neighbours is
-taken, the leftmost of equals, until none is left; all units at a time.
-Characters without a piece become their bytes.
+taken, from the left, wherever it occurs, until none is left; all units at a
+time.  Characters without a piece become their bytes.  A unit longer than a
+suffix array may be (text without blanks) is indexed in blocks that overlap by
+the longest piece, and relaxed as a whole.
 
 Defined results: a null text is the empty text and has no ids; the white-space
 sign of the model, where a text holds it itself, decodes to a blank, as in the
@@ -22,7 +24,6 @@ from __future__ import annotations
 
 import codecs
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -31,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_unsigned, documents, sliced
+from .common import KEPT, bounded_batches, crc_unsigned, documents, sliced, tidy
 
 SIGN = "▁"
-#: Characters in one suffix array, and of the longest unit that goes into one (longer ones merge by a heap).
-TOGETHER, LONG = 300_000, 48
+#: Characters in one suffix array.
+TOGETHER = 300_000
 
 codecs.register_error("tideglass_bytes", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -79,9 +80,17 @@ class Pieces:
         self.unit = re.compile(f"{SIGN}*[^{SIGN}\n]+|{SIGN}+|\n")
 
     def edges(self, codes: np.ndarray) -> np.ndarray:
-        """The piece at every position (row) of every length (column), or -1, found in a suffix array of the text."""
+        """The piece at every position (row) of every length (column), or -1, found in suffix arrays of TOGETHER characters and what a piece may reach beyond."""
         n, width = len(codes), self.longest
         letters = np.concatenate([self.letter[codes], np.zeros(width, np.uint16)])
+        table = np.full((n, width + 1), -1, np.int32 if len(self.text) > 1 << 15 else np.int16)
+        for at in range(0, n, TOGETHER):
+            self._found(letters[at : min(n, at + TOGETHER) + width], table[at : at + TOGETHER])
+        return table
+
+    def _found(self, letters: np.ndarray, table: np.ndarray) -> None:
+        """Put the pieces that begin in ``letters``, but for its last ``longest``, into their rows."""
+        n, width = len(table), self.longest
         keys = []
         for at in range(0, width, 4):
             key = np.zeros(n, np.uint64)
@@ -97,77 +106,71 @@ class Pieces:
         each = times[some]
         within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         where = order[np.repeat(low[some], each) + within]
-        table = np.full((n, width + 1), -1, np.int32)
         table[where, np.repeat(self.sizes[some], each)] = np.repeat(self.ids[some], each)
-        return table
 
     def merged(self, table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols (unit, first, end) that merging leaves, in order.  starts, sizes: the units' characters."""
+        """Symbols (unit, first, end) that merging leaves, in order.  starts, sizes: the units' characters.
+
+        A round takes each unit's best rank at all its places, from the left and
+        without overlap, up to the first that makes a pair as good or better:
+        from there on the order of merges could be another.
+        """
         unit = np.repeat(np.arange(len(sizes)), sizes)
         first = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
         end = first + 1
         none = np.iinfo(np.int32).max
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        rank_of = lambda a, b, same: np.where(same, self.rank[table[a, np.minimum(b - a, self.longest) * (b - a <= self.longest)]], none)
+
+        def rank_of(a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
+            return np.where(same, self.rank[table[a, np.minimum(b - a, self.longest) * (b - a <= self.longest)]], none)
+
         rank = np.append(rank_of(first[:-1], end[1:], unit[:-1] == unit[1:]), none) if len(unit) else np.zeros(0, np.int64)
         while len(unit):
             heads = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-            best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), heads)
-            more = best >> 32 < none
+            best = np.minimum.reduceat(rank, heads)
+            more = best < none
+            each = np.diff(np.append(heads, len(unit)))
             if not more.all():
-                keep = np.repeat(more, np.diff(np.append(heads, len(unit))))
+                keep = np.repeat(more, each)
                 done.append((unit[~keep], first[~keep], end[~keep]))
-                moved = np.cumsum(keep) - 1
-                best = moved[best[more] & 0xFFFFFFFF]
-                unit, first, end, rank = unit[keep], first[keep], end[keep], rank[keep]
-            else:
-                best = best & 0xFFFFFFFF
-            if not len(unit):
-                break
-            end[best] = end[best + 1]
+                unit, first, end, rank, best, each = unit[keep], first[keep], end[keep], rank[keep], best[more], each[more]
+                if not len(unit):
+                    break
+            at = np.flatnonzero(rank == np.repeat(best, each))
+            # of places that overlap (a run of neighbours) every second is taken
+            run = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            if len(at) > len(each):  # several in a unit: the pair to the left as it will be, to the right as it is
+                mine, past = rank[at], np.minimum(at + 2, len(unit) - 1)
+                left = np.maximum(at - 1, 0)
+                joined = np.concatenate([[False], at[1:] - at[:-1] == 2])
+                begin = np.where(joined, first[np.maximum(at - 2, 0)], first[left])
+                better = (rank_of(begin, end[at + 1], (at > 0) & (unit[left] == unit[at])) <= mine) | (rank_of(first[at], end[past], (past > at + 1) & (unit[past] == unit[at])) <= mine)
+                if better.any():
+                    fresh = np.concatenate([[True], unit[at[1:]] != unit[at[:-1]]])
+                    before = np.cumsum(better) - better
+                    start = np.flatnonzero(fresh)
+                    at = at[before == np.repeat(before[start], np.diff(np.append(start, len(at))))]
+            end[at] = end[at + 1]
             keep = np.ones(len(unit), bool)
-            keep[best + 1] = False
-            best = (np.cumsum(keep) - 1)[best]
+            keep[at + 1] = False
+            at = (np.cumsum(keep) - 1)[at]
             unit, first, end, rank = unit[keep], first[keep], end[keep], rank[keep]
-            for at in (best, best[best > 0] - 1):
-                nxt = np.minimum(at + 1, len(unit) - 1)
-                rank[at] = rank_of(first[at], end[nxt], (nxt > at) & (unit[at] == unit[nxt]))
+            for place in (at, at[at > 0] - 1):
+                nxt = np.minimum(place + 1, len(unit) - 1)
+                rank[place] = rank_of(first[place], end[nxt], (nxt > place) & (unit[place] == unit[nxt]))
+        if not done:
+            return unit, first, end
         unit, first, end = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.lexsort((first, unit))
         return unit[order], first[order], end[order]
 
-    def long_unit(self, text: str) -> list[str]:
-        """The same merges for one unit, by a heap."""
-        parts: list[str | None] = list(text)
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        heap: list[tuple[int, int, str]] = []
-
-        def offer(a: int) -> None:
-            if 0 <= a and after[a] < len(parts):
-                both = parts[a] + parts[after[a]]
-                if (i := self.id_of.get(both)) is not None:
-                    heapq.heappush(heap, (int(self.rank[i]), a, both))
-
-        for a in range(len(parts) - 1):
-            offer(a)
-        while heap:
-            _, a, both = heapq.heappop(heap)
-            if parts[a] is None or after[a] >= len(parts) or parts[a] + parts[after[a]] != both:
-                continue
-            gone = after[a]
-            parts[a], parts[gone], after[a] = both, None, after[gone]
-            if after[gone] < len(parts):
-                before[after[gone]] = a
-            offer(before[a])
-            offer(a)
-        return [p for p in parts if p is not None]
-
     def spelt(self, symbol: str) -> list[int]:
         i = self.id_of.get(symbol)
         return [i] if i is not None else [self.bytes_id[b] for b in symbol.encode()]
 
     def learn(self, units: list[str]) -> None:
-        """Units of at most LONG characters, together at most about TOGETHER."""
+        """Units of together about TOGETHER characters, or one that is longer."""
         joined = "\0".join(units) + "\0"
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, units), np.int64, len(units))
@@ -196,14 +199,11 @@ class Pieces:
         block: list[str] = []
         size = 0
         for u in new:
-            if len(u) > LONG or "\0" in u:
-                self.known[u] = np.array([i for p in self.long_unit(u) for i in self.spelt(p)], "<i4").tobytes()
-                continue
-            block.append(u)
-            size += len(u) + 1
-            if size > TOGETHER:
+            if block and size + len(u) >= TOGETHER:
                 self.learn(block)
                 block, size = [], 0
+            block.append(u)
+            size += len(u) + 1
         if block:
             self.learn(block)
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
@@ -218,6 +218,14 @@ class Pieces:
 _MODELS: dict[str, Pieces] = {}
 
 
+def _drop_units() -> None:
+    for x in _MODELS.values():
+        x.known = {}
+
+
+KEPT.append(_drop_units)
+
+
 def model(path: str) -> Pieces:
     if path not in _MODELS:
         _MODELS[path] = Pieces(path)
@@ -235,7 +243,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -247,7 +255,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
         for batch in sliced(batches):
             yield pa.record_batch([batch.column(0), pa.array([model(path).decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(tidy(run), f"doc_id {kind}, text string")
 
 
 def default_model() -> str:
@@ -260,6 +268,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both directions at once, so that ids need not leave their task: doc_id, n_tokens, ids_crc32, decoded_sha256, round_trip."""
     bounded_batches(spark)
     path, docs = default_model(), documents(spark, sf_dir)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -278,4 +287,4 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
