@@ -91,7 +91,7 @@ def buckets(spark: SparkSession, size: float, each: float, most: int = 20_000) -
 
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of a table's bytes; 0 where it has none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return size if size < 1 << 60 else 0
 
 
