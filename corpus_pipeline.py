@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tideglass.llm import exact_dedup, jaccard, packing, quality, simhash, toxicity
-from tideglass.llm.common import crc_mod, documents, labels, written
+from tideglass.llm.common import crc_mod, documents, held_tables, labels, sweep, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir)
+    rows, before = documents(spark, sf_dir), held_tables()
     for _, stage in STAGES[:-1]:
         rows = written(stage(spark, rows, sf_dir))
+        sweep(spark, before, rows)  # the stage's own tables, and the rows of the stage before
     return STAGES[-1][1](spark, rows, sf_dir)
