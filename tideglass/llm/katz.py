@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, buckets, crc_mod, documents, hash_words, input_bytes, text_bytes, tidy, written
 
 #: Words of history and the word itself; sizes of the caches; counts up to FEW are discounted.
-ORDER, HOT_WORDS, HOT, FEW = 2, 65_000, 50_000, 5
+ORDER, HOT_WORDS, HOT, FEW = 2, 150_000, 150_000, 5
 #: Bytes of text in one batch, of input for a bucket, and n-grams in one row of a table.
 TEXT_BYTES, BUCKET_BYTES, CELL = 3 << 20, 48 << 20, 1 << 20
 #: The id of the end; codes of words that are not in the cache have the top bit.
@@ -105,6 +105,22 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
+def _in_order(columns: list[np.ndarray], where: np.ndarray | None = None) -> np.ndarray:
+    """The order of rows by bucket, in it of codes; equal rows lie together.  Rows of two short codes are sorted as one number, before all others."""
+    short = np.uint64(1 << 21)
+    if len(columns) != 2 or where is not None and len(where) and where.max() >= 1 << 21:
+        return np.lexsort((*columns[::-1], where)) if where is not None else np.lexsort(columns[::-1])
+    a, b = columns
+    some = (a < short) & (b < short)
+    hot, rest = np.flatnonzero(some), np.flatnonzero(~some)
+    number = a[hot] << np.uint64(21) | b[hot]
+    if where is not None:
+        number |= where[hot].astype(np.uint64) << np.uint64(42)
+    hot, rest = hot[np.argsort(number)], rest[np.lexsort((b[rest], a[rest]) if where is None else (b[rest], a[rest], where[rest]))]
+    order = np.concatenate([hot, rest])
+    return order if where is None else order[np.argsort(where[order], kind="stable")]
+
+
 def _runs(columns: list[np.ndarray]) -> np.ndarray:
     """First rows of runs of equal rows."""
     new = np.zeros(len(columns[0]), bool)
@@ -184,7 +200,7 @@ def _added(pieces: Iterator[list[np.ndarray]], n_codes: int, most: int = 2_000_0
 
     def folded(held: list[list[np.ndarray]]) -> list[np.ndarray]:
         columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-        order = np.lexsort(columns[:n_codes][::-1])
+        order = _in_order(columns[:n_codes])
         columns = [c[order] for c in columns]
         first = _runs(columns[:n_codes])
         return [*(c[first] for c in columns[:n_codes]), np.add.reduceat(columns[n_codes].astype(np.int64), first)]
@@ -475,7 +491,7 @@ def _gram_counts(docs: DataFrame, sent, order: int, lower: DataFrame) -> DataFra
             train = np.repeat(~held_out, sizes)
             columns = m.grams(m.codes(hashes[train]), sizes[~held_out], order)
             where = _bucket(m.route(columns), n)
-            by = np.lexsort((*columns[::-1], where))
+            by = _in_order(columns, where)
             where, columns = where[by], [c[by] for c in columns]
             first = _runs([where, *columns])
             counts = np.diff(np.append(first, len(where))).astype(np.uint32)
@@ -625,7 +641,7 @@ def score(docs: DataFrame, model: Model, tables: DataFrame) -> DataFrame:
             small = _small(len(sizes))
             for j, columns, of in asked:
                 where = _bucket(m.route(columns), n)
-                by = np.lexsort((*columns[::-1], where))
+                by = _in_order(columns, where)
                 columns, of = [c[by] for c in columns], of[by].astype(small)
                 rows += [(b, ASKED + j, number, _packed([c[part] for c in columns], of[part])) for b, part in _dealt(where[by], n)]
             yield _rows(rows)
