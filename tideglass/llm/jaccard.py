@@ -6,10 +6,10 @@ candidates come from MinHash, 48 bands of six values: a pair at 0.8 shares no
 band with probability 5e-7.  Every candidate that decides anything is compared
 shingle by shingle.  Equal sets collapse to one node before that.
 
-Which candidates decide anything: first a bucket is linked along chains, in
-parts of ``SMALL`` nodes, so the members of a group of copies find together.
-Then only pairs of different groups are left.  In a bucket of SMALL nodes or
-fewer they are all compared.  Larger buckets that share nodes make a cluster,
+Which candidates decide anything: first some bands' buckets are linked along
+chains, in parts of ``SMALL`` nodes, so the members of a group of copies find
+together.  Then only pairs of different groups are left.  In a bucket of SMALL
+nodes or fewer they are all compared.  Larger buckets that share nodes make a cluster,
 and its pairs come from a lossless join: let p be the shingles that over half
 of a cluster's sets hold.  Of two sets x and y, at most min(|x&p|, |y&p|)
 shingles of p are common, so a pair that reaches the bound either reaches it
@@ -215,32 +215,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = rows.alias("r").join(best.alias("b"), F.col("r.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("r.mark") == F.col("b.mark"))).select("node", "text")
     sets = written(_sets(texts, words).dropDuplicates(["node"]))
     n = buckets(spark, met.count(), 500_000)
-    found: list[DataFrame] = []
 
     def grouped(df: DataFrame, parts: DataFrame | None) -> DataFrame:
         return df.withColumn("group", F.col("node")) if parts is None else df.join(parts, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Compare; the groups that all links so far make."""
-        found.append(written(_alike(pairs, sets, least)))
-        links = found[0]
-        for more in found[1:]:
-            links = links.unionByName(more)
-        return components(links)
+    def linked(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
+        """Compare; the groups after the links that are found, each one of the groups before as a star."""
+        links = _alike(pairs, sets, least)
+        return components(links if parts is None else links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     def in_buckets(df: DataFrame, chain: bool) -> DataFrame:
         dealt = df.select("part", "node", "size", "group").repartition(n, "part").sortWithinPartitions("part", F.xxhash64("node", "part"))
         return dealt.mapInArrow(tidy(_pairs(least, chain)), "a long, b long").distinct()
 
-    parts = None
-    for chain, some in ((True, met.where(F.col("band") < FIRST)), (True, met), (False, met.where(F.col("nodes") <= SMALL))):
-        parts = linked(in_buckets(grouped(some, parts), chain))
+    parts = linked(in_buckets(grouped(met.where(F.col("band") < FIRST), None), True), None)
+    pairs = in_buckets(grouped(met.where(F.col("nodes") <= SMALL), parts), False)
     large = met.where(F.col("nodes") > SMALL).select("key", "node")
-    if large.take(1):
+    if not large.take(1):
+        parts = linked(pairs, parts)
+    else:
         members = _clusters(written(large)).join(sets.select("node", F.size("found").alias("size")), "node")
         outlined = _outlined(written(grouped(members, parts)), sets)
-        parts = linked(_nearest(_asking(grouped(outlined, parts)), least))
-        parts = linked(_possible(written(_asking(grouped(outlined, parts))), least))
+        parts = linked(pairs.unionByName(_nearest(_asking(grouped(outlined, parts)), least)).distinct(), parts)
+        parts = linked(_possible(written(_asking(grouped(outlined, parts))), least), parts)
     parts = written(parts)
     sweep(spark, before, table, parts)
     return table.select("doc_id", "mark", "node"), parts
