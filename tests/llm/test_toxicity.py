@@ -1,9 +1,11 @@
+import math
 from collections import Counter
 
 import numpy as np
 import xxhash
 
 from tideglass.llm import toxicity as T
+from tideglass.llm.common import within
 
 
 def slow_features(text):
@@ -46,3 +48,31 @@ def test_ftrl_learns_and_is_sparse():
         m.learn(np.append(np.unique(np.append(at[at > 1], 0 if y else 1)), 1000), float(y))
     w = m.weights()
     assert w[0] > 0 > w[1] and (w != 0).sum() < 500
+
+
+def test_ftrl_update_by_definition():
+    """Per coordinate: sigma = (sqrt(n + g^2) - sqrt(n)) / alpha, z += g - sigma w, n += g^2."""
+    m, rng = T.Ftrl(12), np.random.default_rng(8)
+    z, n = [0.0] * 12, [0.0] * 12
+    for _ in range(200):
+        at = np.unique(rng.integers(0, 12, 5))
+        y = float(rng.integers(0, 2))
+        w = {i: 0.0 if abs(z[i]) <= T.L1 else -(z[i] - math.copysign(T.L1, z[i])) / ((T.BETA + math.sqrt(n[i])) / T.ALPHA + T.L2) for i in at.tolist()}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - y
+        for i in at.tolist():
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / T.ALPHA
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+        m.learn(at, y)
+    assert np.allclose(m.z, z) and np.allclose(m.n, n)
+
+
+def test_long_texts_are_bounded(spark):
+    """Labelled documents of some megabytes: features beyond the bound are not read, and the model still learns."""
+    rows = [(k, ("bad " if k % 2 else "good ") + " ".join(f"w{k}x{j}" for j in range(3000))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    found = {r.doc_id: r.score for r in T.score(docs, T.fit(docs, table, feature_bytes=1 << 20)).collect()}
+    assert len(found) == 60
+    made = spark.createDataFrame([(bytes([k]) * 1000,) for k in range(200)], "keys binary")
+    assert 0 < within(made, "keys", 50_000).count() < 100 and within(made, "keys", 200_000).count() == 200

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -168,6 +169,25 @@ def release() -> None:
         pass
 
 
+def released(fit: Callable) -> Callable:
+    """The same function, after which the driver gives the memory of its working set back."""
+
+    @functools.wraps(fit)
+    def held(*args, **kwargs):
+        try:
+            return fit(*args, **kwargs)
+        finally:
+            release()
+
+    return held
+
+
+def within(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """Rows of a written table whose ``column`` has about ``most`` bytes together at most: all of them, or a share chosen by a hash of the bytes."""
+    size = rows.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return rows if size <= most else rows.where(F.pmod(F.xxhash64(column, F.lit(29)), F.lit(1 << 24)) < int(most / size * (1 << 24)))
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same, and the worker's memory is released at the end of each task."""
 

@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, documents, hash_words, labels, sliced, text_bytes, tidy
+from .common import bounded_batches, crc_mod, documents, forget, hash_words, labels, released, sliced, text_bytes, tidy, within, written
 
 WORDS, BINS, FACTORS, SAMPLE, EPOCHS = 1 << 15, 12, 8, 8000, 4
+#: Bytes of the sample's features that the driver reads at most, however long the texts are.
+FEATURE_BYTES = 192 << 20
 NAMES = ("bytes", "words", "word_size", "distinct", "upper", "digit", "mark", "mark_run", "lone_mark", "line", "same_line", "same_next", "wide", "top_word")
 
 #: Byte classes: 0 other, 1 lower-case letter, 2 upper-case, 3 digit, 4 white space, 5 mark, 6 part of a wider code point.
@@ -154,17 +156,19 @@ def labelled_sample(docs: DataFrame, table: DataFrame, label: str, sample: int,
     only where a row group can hold one.
     """
     ids = table.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).cast("double").alias("label"))
-    n = ids.join(docs.select(F.col(id_col).alias("__id")), "__id", "left_semi")
+    n = written(ids.join(docs.select(F.col(id_col).alias("__id")), "__id", "left_semi"))
     total = n.count()
     share = min(1.0, sample / total) if total else 0.0
     chosen = n.where(F.pmod(F.xxhash64("__id", F.lit(17)), F.lit(1 << 24)) < int(share * (1 << 24)) + (share >= 1.0)).collect()
+    forget(n)
     few = docs.sparkSession.createDataFrame(chosen, n.schema)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
     return rows.where(F.col("__id").isin([r["__id"] for r in chosen])).join(F.broadcast(few), "__id").select("text", "label")
 
 
-def fit(docs: DataFrame, table: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, words: int = WORDS) -> Machine | Constant:
-    """docs and labels (id, label), joined on the id."""
+@released
+def fit(docs: DataFrame, table: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, words: int = WORDS, feature_bytes: int = FEATURE_BYTES) -> Machine | Constant:
+    """docs and labels (id, label), joined on the id.  At most about ``sample`` rows, and ``feature_bytes`` of their features, are learnt from."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +178,9 @@ def fit(docs: DataFrame, table: DataFrame, label: str = "quality", id_col: str =
             raw = keys.astype(np.uint16 if words <= 1 << 16 else np.uint32)
             yield pa.record_batch([pa.array([raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array(stats.tolist(), pa.list_(pa.float64())), batch.column(1)], names=["keys", "stats", "label"])
 
-    got = labelled_sample(docs, table, label, sample, id_col, text_col).mapInArrow(tidy(run), "keys binary, stats array<double>, label double").toArrow()
+    made = written(labelled_sample(docs, table, label, sample, id_col, text_col).mapInArrow(tidy(run), "keys binary, stats array<double>, label double"))
+    got = within(made, "keys", feature_bytes).toArrow()
+    forget(made)
     label_of = got.column("label").to_numpy()
     if len(set(label_of)) < 2:
         return Constant(float(label_of.mean()) if len(label_of) else 0.5)

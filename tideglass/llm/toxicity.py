@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEPT, bounded_batches, crc_mod, crc_unsigned, documents, forget, labels, sliced, tidy, written
-from .quality import labelled_sample
+from .common import KEPT, bounded_batches, crc_mod, crc_unsigned, documents, forget, labels, released, sliced, tidy, within, written
+from .quality import FEATURE_BYTES, labelled_sample
 
 SAMPLE, RARE, EPOCHS, HEADS, STREAMS = 8000, 2, 6, (4, 6), 16
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.05
@@ -119,7 +119,9 @@ class Weights:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, table: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, rare: int = RARE, epochs: int = EPOCHS) -> Weights:
+@released
+def fit(docs: DataFrame, table: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, rare: int = RARE, epochs: int = EPOCHS, feature_bytes: int = FEATURE_BYTES) -> Weights:
+    """docs and labels (id, label), joined on the id.  At most about ``sample`` rows, and ``feature_bytes`` of their features, are learnt from."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +136,7 @@ def fit(docs: DataFrame, table: DataFrame, label: str = "toxic", id_col: str = "
     table = written(labelled_sample(docs, table, label, sample, id_col, text_col).mapInArrow(tidy(run), "keys binary, label double").repartition(STREAMS))
     raw: list[np.ndarray] = []
     label_of: list[float] = []
-    for r in table.toLocalIterator():
+    for r in within(table, "keys", feature_bytes).toLocalIterator():
         raw.append(np.frombuffer(r.keys, np.uint32))
         label_of.append(r.label)
     keys = _frequent(raw, rare)
