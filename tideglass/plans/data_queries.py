@@ -57,19 +57,12 @@ def _json(spark, sf):
     return M.table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("props")).alias("score"))
 
 
-@query("k03_data_hash", "data_hash", sql="SELECT substr(sha256(string_agg(line, chr(10) ORDER BY path)), 1, 12) AS data_hash FROM (SELECT CAST(o_orderkey AS VARCHAR) AS path, CAST(o_orderkey AS VARCHAR) || ':' || sha256(o_orderstatus || CAST(o_custkey AS VARCHAR)) AS line FROM orders WHERE o_orderkey % 97 = 0)")
-def _data_hash(spark, sf):
-    """The manifest's hash, over a bounded list of entries made from orders."""
-    o = M.table(spark, sf, "orders").where("o_orderkey % 97 = 0")
-    return store.data_hash(o.select(F.col("o_orderkey").cast("string").alias("path"), F.sha2(F.concat("o_orderstatus", F.col("o_custkey").cast("string")).cast("binary"), 256).alias("sha256")))
-
-
 _LINES = "SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) || ':' || sha256(o_orderstatus || CAST(o_custkey AS VARCHAR)) AS line FROM orders"
 
 
 @query("k03_data_hash_all", "data_hash", sql=f"SELECT substr(sha256(string_agg(line, chr(10) ORDER BY part)), 1, 12) AS data_hash FROM (SELECT k // 1000 AS part, sha256(string_agg(line, chr(10) ORDER BY k)) AS line FROM ({_LINES}) GROUP BY 1)")
 def _data_hash_all(spark, sf):
-    """The same over every order."""
+    """The manifest's hash over every order, in two levels of key ranges."""
     o = M.table(spark, sf, "orders")
     return store.data_hash_by_range(o.select("o_orderkey", F.sha2(F.concat("o_orderstatus", F.col("o_custkey").cast("string")).cast("binary"), 256).alias("sha256")), "o_orderkey")
 
@@ -171,11 +164,9 @@ query("r31_latest_run", "kind run_id", sql="SELECT o_orderstatus AS kind, arg_ma
 query("o02_top_k", "ticker session_id", "move", sql="SELECT ticker, session_id, m AS move FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY round(m, 9) DESC, session_id) AS k FROM (SELECT *, abs(r) AS m FROM ranges WHERE r IS NOT NULL)) WHERE k <= 20", tables=RANGES)(
     lambda s, d: (lambda t: M.grid(s, d).withColumn("move", F.abs(t.diff(ln("close")))).where("move is not null").withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.round("move", 9).desc(), "session_id"))).where("k <= 20"))(Trail())
 )
-query("o01_sorted", "position ticker session_id", sql="SELECT row_number() OVER (ORDER BY date, ticker) AS position, ticker, session_id FROM grid WHERE date < DATE '1995-02-01'", tables=GRID)(lambda s, d: M.grid(s, d).where("date < date'1995-02-01'").withColumn("position", F.row_number().over(Window.orderBy("date", "ticker"))))
 query("o01_sorted_all", "position ticker session_id", sql="SELECT row_number() OVER (ORDER BY date, ticker) AS position, ticker, session_id FROM grid", tables=GRID)(lambda s, d: positions(M.grid(s, d)))
 query("o03_arg_max", "ticker date", sql="SELECT ticker, min(date) AS date FROM bars b WHERE volume = (SELECT max(volume) FROM bars x WHERE x.ticker = b.ticker) GROUP BY ticker", tables=BARS)(lambda s, d: M.bars(s, d).groupBy("ticker").agg(F.min_by("date", F.struct(-F.col("volume"), F.col("date"))).alias("date")))
 query("o04_union_calendars", "date", sql="SELECT date FROM sessions UNION SELECT date FROM event_days", tables=f"{BARS}, {M.EVENTS_SQL}")(lambda s, d: M.bars(s, d).select("date").union(M.event_days(s, d).select("date")).distinct())
-query("o05_union_all", "ticker session_id", sql="SELECT ticker, session_id FROM grid WHERE session_id < 100 UNION ALL SELECT ticker, session_id FROM grid WHERE session_id < 50", tables=GRID)(lambda s, d: M.grid(s, d).where("session_id < 100").unionByName(M.grid(s, d).where("session_id < 50")))
 query("o05_union_all_whole", "ticker session_id", sql="SELECT ticker, session_id FROM grid UNION ALL SELECT ticker, session_id FROM grid", tables=GRID)(lambda s, d: M.grid(s, d).unionByName(M.grid(s, d)))
 query("o06_intersect", "date", sql="SELECT date FROM bars WHERE ticker = 'A' INTERSECT SELECT date FROM bars WHERE ticker = 'R'", tables=BARS)(lambda s, d: (lambda b: b.where("ticker = 'A'").select("date").intersect(b.where("ticker = 'R'").select("date")))(M.bars(s, d)))
 query("o07_except", "date", sql="SELECT date FROM sessions EXCEPT SELECT date FROM event_days", tables=f"{BARS}, {M.EVENTS_SQL}")(lambda s, d: M.bars(s, d).select("date").subtract(M.event_days(s, d).select("date")))
