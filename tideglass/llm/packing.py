@@ -73,7 +73,7 @@ class WordTokens(dict):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        self.added = [x["content"].encode() for x in told["added_tokens"]]
+        self.added = re.compile(b"|".join(re.escape(x["content"].encode()) for x in told["added_tokens"]) or b"(?!)")
         self.by_word = self._by_word(told)
         self.tokenize = self.tokenizer.model.tokenize
         self.units: dict[str, bytes] = {"": b""}
@@ -92,7 +92,7 @@ class WordTokens(dict):
             and not pre[1]["add_prefix_space"]
             and not pre[1]["use_regex"]
             and told["model"]["type"] == "BPE"
-            and not any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] or len(x["content"].split()) != 1 or x["content"] != x["content"].strip() for x in told["added_tokens"])
+            and not any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] or len(x["content"].split()) != 1 or x["content"] != x["content"].strip() or x["content"].rstrip(".,!?;:|").isalpha() for x in told["added_tokens"])
         )
 
     def unit(self, text: str) -> bytes:
@@ -109,11 +109,9 @@ class WordTokens(dict):
             self.clear()
         text = word.decode().lower()
         core = text.rstrip(".,!?;:|")
-        if any(x in word for x in self.added):
-            got = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
-        elif core.isascii() and core.isalpha():
+        if core.isascii() and core.isalpha():  # no added token is made of these alone
             got = self.unit(core) + self.unit(text[len(core) :])
-        elif found := self.SIMPLE.fullmatch(text):
+        elif not self.added.search(word) and (found := self.SIMPLE.fullmatch(text)):
             got = b"".join(map(self.unit, found.groups()))
         else:
             got = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
