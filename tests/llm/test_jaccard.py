@@ -1,6 +1,9 @@
 import random
+from collections import Counter
 
 import corpus_pipeline as C
+import pyarrow as pa
+import pytest
 from tideglass.llm import jaccard
 
 
@@ -100,3 +103,19 @@ def test_outsiders_of_a_large_group(spark):
     want = expected(rows)
     assert 40 < len(want) < len(rows) - 40
     assert sorted(r.doc_id for r in jaccard.deduplicate(docs).collect()) == want
+
+
+@pytest.mark.parametrize("most", [5, 1 << 19])
+def test_partial_counts_add_up(monkeypatch, most):
+    """Counts that are handed on early, and those of empty sets and batches, sum to the number of sets that hold a shingle."""
+    monkeypatch.setattr(jaccard, "COUNTED", most)
+    rng = random.Random(5)
+    rows = [(rng.choice([-4, 0, 9]), rng.sample(range(-6, 30), rng.randrange(0, 12))) for _ in range(200)]
+    column = lambda at: [pa.record_batch([pa.array([c for c, _ in part], pa.int64()), pa.array([f for _, f in part], pa.list_(pa.int64()))], names=["cluster", "found"]) for part in at]
+    batches = column([rows[:70], [], rows[70:71], rows[71:]])
+    got = Counter()
+    for batch in jaccard._holders(iter(batches)):
+        for c, s, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            got[c, s] += n
+    assert got == Counter((c, s) for c, f in rows for s in f)
+    assert sum(b.num_rows for b in jaccard._holders(iter(column([[(1, [])]])))) == 0

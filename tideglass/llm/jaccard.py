@@ -43,6 +43,8 @@ WORDS, LEAST = 5, 0.8
 BANDS, DEPTH = 48, 6
 #: Bands whose chains are tried before anything else, and the nodes of a bucket that are compared with each other.
 FIRST, SMALL = 3, 64
+#: Counts of shingles that a task holds before it hands them on.
+COUNTED = 1 << 19
 
 _RNG = np.random.default_rng(42)
 _XOR, _ODD = (_RNG.integers(0, 2**64, (BANDS * DEPTH, 1), dtype=np.uint64) for _ in range(2))
@@ -129,18 +131,51 @@ def _clusters(large: DataFrame) -> DataFrame:
     return first.join(of, first["first"] == of["node"], "left").select(first["node"], F.coalesce("cluster", "first").alias("cluster"))
 
 
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, found) -> cluster, s, n: in how many of the sets that this task has seen since its last count a shingle is.
+
+    What the sets of a group share is one row here, not one for each set; at most ``COUNTED`` rows are held.
+    """
+
+    def summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        cluster, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((s, cluster))
+        cluster, s, n = cluster[order], s[order], n[order]
+        first = np.flatnonzero(np.concatenate([[len(s) > 0], (np.diff(cluster) != 0) | (np.diff(s) != 0)])[: len(s)])
+        return [cluster[first], s[first], np.add.reduceat(n, first) if len(first) else n]
+
+    def out(counts: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(x) for x in counts], names=["cluster", "s", "n"])
+
+    held: list[list[np.ndarray]] = []
+    for batch in sliced(batches):
+        found, cluster = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
+        s = found.flatten().to_numpy(zero_copy_only=False)
+        held.append([np.repeat(cluster, found.value_lengths().to_numpy(zero_copy_only=False)), s, np.ones(len(s), np.int64)])
+        if sum(len(x[1]) for x in held) > COUNTED:
+            held = [summed(held)]
+            if 2 * len(held[0][1]) > COUNTED:
+                yield out(held.pop())
+    if held:
+        yield out(summed(held))
+
+
 def _outlined(members: DataFrame, sets: DataFrame) -> DataFrame:
     """members (cluster, node, group, size) of clusters that hold several groups -> cluster, node, size, smallest (of the cluster), core (shingles in p), rare (the others, by rarity)."""
     own = members.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"))
     stats = written(own.groupBy("cluster").agg(F.sum("n").alias("nodes"), F.min("least").alias("smallest"), F.count(F.lit(1)).alias("groups")).where("groups > 1"))
-    some = members.join(stats, "cluster").select("cluster", "node", "size", "nodes", "smallest")
-    words = written(some.join(sets, "node").select("cluster", "node", "size", "nodes", "smallest", F.explode("found").alias("s")))
-    # a table of its own: a shingle of half a cluster then splits by size, not by key
-    often = written(words.groupBy("cluster", "s").agg(F.count(F.lit(1)).alias("df")))
-    told = words.join(often, ["cluster", "s"])
-    core = 2 * F.col("df") > F.col("nodes")
-    known = written(told.groupBy("cluster", "node", "size", "smallest").agg(F.count(F.when(core, 1)).alias("core"), F.sort_array(F.collect_list(F.when(~core, F.struct("df", "s")))).alias("rare")))
-    for table in (stats, words, often):
+    some = written(members.join(stats, "cluster").select("cluster", "node", "size", "smallest").join(sets, "node").select("cluster", "node", "size", "smallest", "found"))
+    # counted before the shuffle; a table of its own, so that a shingle of many sets splits by size below, not by key
+    often = written(some.select("cluster", "found").mapInArrow(tidy(_holders), "cluster long, s long, n long").groupBy("cluster", "s").agg(F.sum("n").alias("df")))
+    # over half of the sets hold each shingle of p, so p has fewer than twice the shingles of the cluster's mean set
+    p = often.join(stats, "cluster").where(2 * F.col("df") > F.col("nodes")).groupBy("cluster").agg(F.collect_list("s").alias("p"))
+    rest = F.when(F.col("p").isNull(), F.col("found")).otherwise(F.array_except("found", "p"))
+    cut = written(some.join(p, "cluster", "left").select("cluster", "node", "size", "smallest", rest.alias("rest")))
+    told = cut.select("cluster", "node", F.explode("rest").alias("s")).join(often, ["cluster", "s"])
+    rare = told.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("rare"))
+    none = F.array().cast("array<struct<df: bigint, s: bigint>>")
+    known = written(cut.join(rare, "node", "left").select("cluster", "node", "size", "smallest", (F.col("size") - F.size("rest")).alias("core"), F.coalesce("rare", none).alias("rare")))
+    for table in (stats, some, often, cut):
         forget(table)
     return known
 
