@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +146,21 @@ def test_streams_equal_batches(spark, tmp_path):
         assert tidy(got) == tidy(make(events))
     late = streamed(spark, live, lambda d: stream.hourly_bars(d, "1 hour"), "late", "append", tmp_path)
     assert 0 < late.count() <= stream.hourly_bars(events).count()
+
+
+def test_as_of_by_slots(spark):
+    """One hot key and others, cut in slots, strict or not, forward or backward, against a search in sorted lists."""
+    rng = random.Random(9)
+    left = [(rng.choice("aaab"), at) for at in rng.sample(range(400), 120)] + [("none", 5)]
+    right = [(rng.choice("aaab"), at, at * 10) for at in rng.sample(range(400), 60)]
+    table = (spark.createDataFrame(left, "k string, at int"), spark.createDataFrame(right, "k string, at int, v int"))
+    for strict in (False, True):
+        for after in (False, True):
+            got = align.as_of(*table, "at", ["v"], ("k",), strict, after, slot=lambda t: F.floor(t / 7))
+            assert got.columns == ["k", "at", "v"]
+
+            def near(k, at):
+                found = [r for c, r, _ in right if c == k and ((r > at if after else r < at) or (r == at and not strict))]
+                return (min(found) if after else max(found)) * 10 if found else None
+
+            assert sorted((r.k, r.at, r.v or -1) for r in got.collect()) == sorted((k, at, near(k, at) or -1) for k, at in left)

@@ -111,7 +111,7 @@ query("j07_as_of", "date timing session_id", sql="SELECT e.date, e.timing, s.ses
     lambda s, d: A.as_of(M.event_days(s, d).withColumn("at", F.when(F.col("timing") == "bmo", F.date_sub("date", 1)).otherwise(F.col("date"))), M.sessions(M.bars(s, d)).withColumnRenamed("date", "at"), "at", ["session_id"])
 )
 query("j07b_as_of_by_key", "event_id event_type prior", sql="SELECT e.event_id, e.event_type, p.event_id AS prior FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE value > 50) p ON p.event_type = e.event_type AND p.ts < e.ts")(
-    lambda s, d: (lambda e: A.as_of(e.select("event_id", "event_type", "ts"), e.where("value > 50").select("event_type", "ts", F.col("event_id").alias("prior")), "ts", ["prior"], ("event_type",), strict=True))(M.table(s, d, "events"))
+    lambda s, d: (lambda e: A.as_of(e.select("event_id", "event_type", "ts"), e.where("value > 50").select("event_type", "ts", F.col("event_id").alias("prior")), "ts", ["prior"], ("event_type",), strict=True, slot=lambda t: F.date_trunc("hour", t)))(M.table(s, d, "events"))
 )
 _FILL = "last_value(v IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
 
