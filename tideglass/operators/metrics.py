@@ -245,8 +245,8 @@ def pbo(spark: SparkSession, rows: DataFrame, blocks: int = 8, x: str = "net") -
 
     rows (strategy, session_id, x), dates where all strategies are known.
     """
-    import itertools
-
+    if blocks % 2 or not 2 <= blocks <= 20:
+        raise ValueError("blocks are an even number up to 20: their halves are held by every task")
     full = rows.where(F.col(x).isNotNull())
     dates = full.groupBy("session_id").agg(F.collect_list(F.struct("strategy", F.col(x).alias("x"))).alias("xs"))  # a date holds each strategy once
     n = dates.select(F.explode("xs.strategy").alias("strategy")).agg(F.countDistinct("strategy").alias("n"))
@@ -254,10 +254,9 @@ def pbo(spark: SparkSession, rows: DataFrame, blocks: int = 8, x: str = "net") -
     stats = common.select("block", F.inline("xs")).groupBy("strategy", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") ** 2).alias("q"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     w = Window.partitionBy("strategy")
     stats = stats.withColumn("live", F.max("hi").over(w) > F.min("lo").over(w)).where("live")  # without variance there is no Sharpe
-    halves = list(itertools.combinations(range(blocks), blocks // 2))
-    member = spark.createDataFrame([(c, b) for c, half in enumerate(halves) for b in half], "combo int, block int").withColumn("inside", F.lit(True))
-    every = spark.range(len(halves)).select(F.col("id").cast("int").alias("combo")).crossJoin(spark.range(blocks).select(F.col("id").cast("int").alias("block")))
-    sides = F.broadcast(every.join(member, ["combo", "block"], "left").withColumn("inside", F.coalesce("inside", F.lit(False))))
+    halves = spark.range(1 << blocks).where(F.bit_count("id") == blocks // 2)  # block 0 is the highest bit
+    halves = halves.select("id", (F.row_number().over(Window.orderBy(F.desc("id"))) - 1).cast("int").alias("combo"))
+    sides = F.broadcast(halves.select("combo", F.inline(F.array(*[F.struct(F.lit(b).alias("block"), ((F.col("id").bitwiseAND(1 << (blocks - 1 - b))) != 0).alias("inside")) for b in range(blocks)]))))
     part = stats.join(sides, "block").groupBy("combo", "strategy", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     var = (F.col("q") - F.col("s") ** 2 / F.col("n")) / (F.col("n") - 1)
     sr = part.withColumn("sr", ratio(F.col("s") / F.col("n"), F.sqrt(F.when(var > 1e-300, var))))

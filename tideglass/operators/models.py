@@ -369,11 +369,11 @@ def blocks(pred: np.ndarray, samples: np.ndarray, ends: np.ndarray, every: int,
     return out
 
 
-def walk_forward(spark: SparkSession, frame: pd.DataFrame, features: list[str], models: dict[str, tuple[str, dict]], target: str = "y", end: str = "t_end", weight: str | None = None, first: int = 756, every: int = 126, rolling: int | None = None, tune: dict[str, int] | None = None) -> DataFrame:
+def walk_forward(spark: SparkSession, frame: pd.DataFrame, features: list[str], models: dict[str, tuple[str, dict]], target: str = "y", end: str = "t_end", weight: str | None = None, first: int = 756, every: int = 126, rolling: int | None = None, tune: dict[str, int] | None = None, trials: int = 20) -> DataFrame:
     """model, session_id, refit, pred: every (model, block) is a task.
 
-    frame: one row for each session.  tune: {model: blocks between tunings}; a
-    tuning is a task of a first job, and its blocks use what it found.
+    frame: one row for each session.  tune: {model: blocks between tunings};
+    every trial of a tuning is a task of a first job, and its blocks use the best.
     """
     f = frame.sort_values("session_id")
     known = f[features].notna().all(axis=1)
@@ -388,11 +388,12 @@ def walk_forward(spark: SparkSession, frame: pd.DataFrame, features: list[str],
         def search(part, name=name):
             data, y, w, models, todo = sent.value
             for pdf in part:
-                for k in pdf["block"]:
-                    yield pd.DataFrame({"block": [k], "params": [json.dumps(random_search(data, y, todo[k], models[name][1]))]})
+                for k, n in zip(pdf["block"], pdf["trial"], strict=True):
+                    score, own = trial(data, y, todo[k], models[name][1], int(n))
+                    yield pd.DataFrame({"block": [k], "trial": [n], "score": [score], "params": [json.dumps(own)]})
 
-        rows = spark.createDataFrame([(k,) for k in at], "block int").repartition(len(at)).mapInPandas(search, "block int, params string").collect() if at else []
-        best = {r.block: json.loads(r.params) for r in rows}
+        tries = spark.createDataFrame([(k, n) for k in at for n in range(trials)], "block int, trial int").repartition(len(at) * trials).mapInPandas(search, "block int, trial int, score double, params string").collect() if at else []
+        best = {r.block: json.loads(r.params) for r in sorted(tries, key=lambda r: (r.score, r.trial), reverse=True)}  # the least score is written last
         found |= {(name, k): best[k - k % apart] for k in range(len(todo))}
 
     def run(part):
@@ -412,17 +413,13 @@ def walk_forward(spark: SparkSession, frame: pd.DataFrame, features: list[str],
     return work.repartition(max(1, min(len(models) * len(todo), 512))).mapInPandas(run, "model string, session_id long, refit long, pred double")
 
 
-def random_search(data: np.ndarray, y: np.ndarray, block: tuple, params: dict, trials: int = 6, folds: int = 3, embargo: int = 5, seed: int = 42) -> dict:
-    """Parameters of boosted trees with the least mean squared error on purged inner folds."""
-    rng = np.random.default_rng((seed, int(block[0])))
+def trial(data: np.ndarray, y: np.ndarray, block: tuple, params: dict, number: int, folds: int = 3, embargo: int = 5, seed: int = 42) -> tuple[float, dict]:
+    """Mean squared error on purged inner folds of boosted trees with the numbered draw of parameters, and the draw."""
+    rng = np.random.default_rng((seed, int(block[0]), number))
+    own = {"trees": round(50 * 10 ** rng.uniform(0, 1)), "rate": 0.005 * 10 ** rng.uniform(0, 1), "depth": int(rng.integers(2, 6)), "least": round(20 * 20 ** rng.uniform(0, 1)), "columns": float(rng.uniform(0.4, 1.0))}
     rows = np.searchsorted(data[:, 0].astype(int), block[1])
     X, t = data[rows, 1:], y[rows]
-    best = (math.inf, {})
-    for _ in range(trials):
-        own = {"trees": int(rng.integers(20, 80)), "rate": float(10 ** rng.uniform(-2, -0.7)), "depth": int(rng.integers(2, 5)), "least": int(rng.integers(20, 80)), "columns": float(rng.uniform(0.4, 1.0))}
-        score = float(np.mean([np.mean((Boosted(**{**params, **own}).fit(X[tr], t[tr]).predict(X[te]) - t[te]) ** 2) for tr, te in purged_rows(len(t), folds, embargo)]))
-        best = min(best, (score, own), key=lambda b: b[0])
-    return best[1]
+    return float(np.mean([np.mean((Boosted(**{**params, **own}).fit(X[tr], t[tr]).predict(X[te]) - t[te]) ** 2) for tr, te in purged_rows(len(t), folds, embargo)])), own
 
 
 def bet_size(p: np.ndarray) -> np.ndarray:
@@ -452,7 +449,7 @@ def meta_positions(spark: SparkSession, frame: pd.DataFrame, features: list[str]
                 tr, te = np.searchsorted(ids, train), np.searchsorted(ids, test)
                 p = np.full(len(te), 0.5)
                 if len(tr) >= least and len(np.unique(y[tr])) == 2:
-                    p = Boosted(60, 0.05, 3, 50, classify=True).fit(X[tr], y[tr], w[tr]).predict(X[te])
+                    p = Boosted(200, 0.03, 3, 50, classify=True).fit(X[tr], y[tr], w[tr]).predict(X[te])
                 yield pd.DataFrame({"session_id": test.astype(np.int64), "prob": p, "position": bet_size(p) * side[te]})
 
     return spark.createDataFrame([(k,) for k in range(len(todo))], "block int").repartition(max(1, len(todo))).mapInPandas(run, "session_id long, prob double, position double")
@@ -493,7 +490,7 @@ def importance(spark: SparkSession, frame: pd.DataFrame, features: list[str], gr
             for k in pdf["fold"]:
                 rng = np.random.default_rng((seed, int(k)))
                 tr, te = cuts[k]
-                m = Boosted(40, 0.05, 3, 30).fit(X[tr], y[tr])
+                m = Boosted(300, 0.03, 3, 50).fit(X[tr], y[tr])
                 base = np.mean((m.predict(X[te]) - y[te]) ** 2)
                 rows = [(int(k), n, "mdi", float(v)) for n, v in zip(names, m.gain / max(m.gain.sum(), 1e-300), strict=True)]
                 rows += [(int(k), n, "shap", float(v)) for n, v in zip(names, np.abs(m.contributions(X[te])).mean(axis=0), strict=True)]

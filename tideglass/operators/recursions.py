@@ -8,7 +8,7 @@ thousands of rows each; they are the parallelism.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -229,14 +229,14 @@ def walk_forward_scan(rows: DataFrame, by: tuple[str, ...], refit_every: int, fi
     return ordered_scan(rows, by, make, {name: "double"})
 
 
-def regime_probability(g: DataFrame, refit_every: int = 500, first: int = 300, iterations: int = 50) -> DataFrame:
+def regime_probability(g: DataFrame, refit_every: int = 252, first: int = 756, iterations: int = 200) -> DataFrame:
     """p_high: filtered probability of the state of higher variance, refitted walk-forward."""
     rows = regime_inputs(g).select("ticker", "session_id", "ret", "log_range")
     get = lambda p: p[["ret", "log_range"]].to_numpy(float)
     return walk_forward_scan(rows, ("ticker",), refit_every, first, lambda p: hmm_fit(get(p), iterations=iterations), lambda p, m: hmm_filter(get(p), m)[:, 1], "p_high")
 
 
-def fractional_feature(g: DataFrame, refit_every: int = 500, first: int = 300, most: int = 100) -> DataFrame:
+def fractional_feature(g: DataFrame, refit_every: int = 252, first: int = 756, most: int = 252) -> DataFrame:
     """fracdiff: the log close differenced by the least d that is stationary on each training history."""
     rows = g.withColumn("lc", ln("close")).select("ticker", "session_id", "lc")
 
@@ -302,19 +302,20 @@ GARCH_START = {"garch": (-2.0, 3.0, -2.0), "gjr_t": (-2.0, 3.0, -2.0, 0.0, 1.5),
 
 def garch_path(kind: str, e: np.ndarray, p: dict[str, float]) -> np.ndarray:
     """Variances of every return and, last, of the next one; parameters held fixed."""
-    out = np.empty(len(e) + 1)
-    v = float(np.var(e)) or 1.0
-    mean_abs = math.sqrt(2 / math.pi)
-    for t in range(len(e) + 1):
-        out[t] = v
-        if t < len(e):
-            if kind == "egarch":
-                z = e[t] / math.sqrt(v)
-                v = math.exp(min(50.0, max(-50.0, p["omega"] + p["alpha"] * (abs(z) - mean_abs) + p["gamma"] * z + p["beta"] * math.log(v))))
-            else:
-                v = p["omega"] + (p["alpha"] + (p["gamma"] if e[t] < 0 else 0.0)) * e[t] ** 2 + p["beta"] * v
-            v = min(max(v, 1e-12), 1e12)
-    return out
+    v, out = float(np.var(e)) or 1.0, []
+    if kind == "egarch":
+        omega, alpha, gamma, beta, mean_abs = p["omega"], p["alpha"], p["gamma"], p["beta"], math.sqrt(2 / math.pi)
+        for x in e.tolist():
+            out.append(v)
+            z = x / math.sqrt(v)
+            v = omega + alpha * (abs(z) - mean_abs) + gamma * z + beta * math.log(v)
+            v = min(max(math.exp(min(50.0, max(-50.0, v))), 1e-12), 1e12)
+    else:
+        beta = p["beta"]
+        for x in (p["omega"] + (p["alpha"] + p["gamma"] * (e < 0)) * e * e).tolist():
+            out.append(v)
+            v = min(max(x + beta * v, 1e-12), 1e12)
+    return np.array([*out, v])
 
 
 def garch_fit(kind: str, r: np.ndarray) -> tuple[float, float, dict[str, float]]:
@@ -338,20 +339,26 @@ def garch_fit(kind: str, r: np.ndarray) -> tuple[float, float, dict[str, float]]
     return mean, scale, garch_params(kind, simplex(loss, np.array(GARCH_START[kind]), 120))
 
 
-def garch_forecasts(rows: DataFrame, kinds: tuple[str, ...] = ("garch", "gjr_t", "egarch"), refit_every: int = 1000, first: int = 800, r: str = "lr") -> DataFrame:
-    """model, session_id, var: tomorrow's variance from parameters of the last refit; a task for each (ticker, model)."""
+def garch_forecasts(rows: DataFrame, kinds: tuple[str, ...] = ("garch", "gjr_t", "egarch"), refit_every: int = 21, first: int = 756, r: str = "lr") -> DataFrame:
+    """ticker, model, session_id, var: tomorrow's variance from parameters of the last refit.
 
-    def make(p: pd.DataFrame) -> dict[str, np.ndarray]:
-        x, kind = p[r].to_numpy(float), p["model"].iloc[0]
-        out, n = np.full(len(x), np.nan), len(x)
-        for at in range(first - 1, n, refit_every):
-            mean, scale, params = garch_fit(kind, x[: at + 1])
-            v = garch_path(kind, (x - mean) / scale, params)[1:] * scale**2
-            out[at : at + refit_every] = v[at : at + refit_every]
-        return {"var": out}
-
-    models = F.explode(F.array(*map(F.lit, kinds))).alias("model")
-    return ordered_scan(rows.where(F.col(r).isNotNull()).select("ticker", "session_id", r, models), ("ticker", "model"), make, {"var": "double"})
+    A ticker's returns, bounded by its calendar, are one row; every (ticker,
+    model, refit) is a unit of work, so refits run side by side and a lost
+    executor costs those it held.
+    """
+    known = rows.where(F.col(r).isNotNull()).groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("session_id", F.col(r).alias("x")))).alias("path"))
+    known = known.where(F.size("path") >= first).select("ticker", F.col("path.session_id").alias("ids"), F.col("path.x").alias("x"))
+    work = known.withColumn("model", F.explode(F.array(*map(F.lit, kinds)))).withColumn("at", F.explode(F.sequence(F.lit(first - 1), F.size("x") - 1, F.lit(refit_every))))
+
+    def run(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in part:
+            for u in pdf.itertuples(index=False):
+                x = np.asarray(u.x, float)[: u.at + refit_every]
+                mean, scale, params = garch_fit(u.model, x[: u.at + 1])
+                var = garch_path(u.model, (x - mean) / scale, params)[1:] * scale**2
+                yield pd.DataFrame({"ticker": u.ticker, "model": u.model, "session_id": np.asarray(u.ids, np.int64)[u.at : len(x)], "var": var[u.at :]})
+
+    return work.repartition("ticker", "model", "at").mapInPandas(run, "ticker string, model string, session_id long, var double")
 
 
 def adaptive_conformal(rows: DataFrame, by: tuple[str, ...] = ("model",), alpha: float = 0.1, gamma: float = 0.005, window: int = 250, least: int = 30) -> DataFrame:

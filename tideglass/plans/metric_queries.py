@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions.windows import Trail, ratio
 from ..operators import metrics as S
+from ..operators.variance import har_forecasts, har_inputs, proxy
 from ..sources import market as M
 from .feature_queries import GRID, guard
-from .portfolio_queries import BENCH, BT, FORE, MARKET, RANGES, SHARPE, benchmarks, forecasts, grid_run, market_inputs, variance_proxy
+from .portfolio_queries import BENCH, BT, FORE, MARKET, RANGES, SHARPE, benchmarks, forecasts, grid_run, market_inputs
 from .query import query
 
 
@@ -98,7 +97,7 @@ def _decay(spark, sf):
 def vol_scores(spark, sf):
     """Rolling variances as forecasts of the next session's proxy."""
     t = Trail()
-    g = variance_proxy(M.target(spark, sf)).withColumns({"next": F.lead("rv").over(t.window), "v21": t.mean("rv", 21), "v63": t.mean("rv", 63)})
+    g = proxy(M.target(spark, sf)).withColumns({"next": F.lead("rv").over(t.window), "v21": t.mean("rv", 21), "v63": t.mean("rv", 63)})
     return g.select("session_id", F.col("next").alias("rv"), F.explode(F.map_from_arrays(F.array(F.lit("v21"), F.lit("v63")), F.array("v21", "v63"))).alias("model", "h")).where("rv > 0 and h > 0")
 
 
@@ -151,8 +150,15 @@ query("w28_var_cornish_fisher", "session_id", "v", sql=f"SELECT session_id, CASE
 query("w29_expected_shortfall", "session_id", "es", sql=f"SELECT session_id, CASE WHEN c >= {_VW} THEN -list_avg(list_filter(xs, lambda z: z <= q)) END AS es FROM rw", tables=RISK)(lambda s, d: S.expected_shortfall(risk_rows(s, d), Trail(), "x", 0.95, _VW))
 query("w30_sizing_scale", "session_id", "v", sql="SELECT session_id, CASE WHEN count(x) OVER w >= 63 THEN stddev_samp(x) OVER w END AS v FROM rr WINDOW w AS (ORDER BY session_id ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)", tables=RISK)(_risk(lambda t: t.std("x", 252, 63)))
 query("w31_har_inputs", "session_id", "d w m", sql=f"SELECT session_id, d, {guard('avg({})', 'd', 5)} AS w, {guard('avg({})', 'd', 22)} AS m FROM (SELECT ticker, session_id, CASE WHEN session_id > 0 THEN ln(greatest(rv, 1e-8)) END AS d FROM rv0)", tables=RV)(
-    lambda s, d: (lambda t: variance_proxy(M.target(s, d)).withColumn("d", F.when(F.col("rv").isNotNull(), F.ln(F.greatest("rv", F.lit(1e-8))))).withColumns({"w": t.mean("d", 5), "m": t.mean("d", 22)}))(Trail())
+    lambda s, d: har_inputs(M.target(s, d))
 )
+_COV = ", ".join(f"covar_samp({a}k, {b}k) OVER p AS {a}{b}" for a, b in ("dd", "dw", "dm", "dy", "ww", "wm", "wy", "mm", "my", "yy"))
+_HAR = f"""{RV}, h0 AS (SELECT session_id, d, {guard('avg({})', 'd', 5)} AS w, {guard('avg({})', 'd', 22)} AS m, lead(d) OVER (ORDER BY session_id) AS y FROM (SELECT ticker, session_id, CASE WHEN session_id > 0 THEN ln(greatest(rv, 1e-8)) END AS d FROM rv0)),
+h1 AS (SELECT *, row_number() OVER (ORDER BY session_id) - 1 AS i, CASE WHEN y IS NOT NULL THEN d END AS dk, CASE WHEN y IS NOT NULL THEN w END AS wk, CASE WHEN y IS NOT NULL THEN m END AS mk, y AS yk FROM h0 WHERE d IS NOT NULL AND w IS NOT NULL AND m IS NOT NULL),
+h2 AS (SELECT i, count(yk) OVER p AS n, avg(dk) OVER p AS ad, avg(wk) OVER p AS aw, avg(mk) OVER p AS am, avg(yk) OVER p AS ay, {_COV} FROM h1 WINDOW p AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h3 AS (SELECT *, dd * (ww * mm - wm * wm) - dw * (dw * mm - wm * dm) + dm * (dw * wm - ww * dm) AS det FROM h2 WHERE i >= 755 AND (i - 755) % 21 = 0),
+h4 AS (SELECT *, (dy * (ww * mm - wm * wm) - dw * (wy * mm - wm * my) + dm * (wy * wm - ww * my)) / det AS bd, (dd * (wy * mm - wm * my) - dy * (dw * mm - wm * dm) + dm * (dw * my - wy * dm)) / det AS bw, (dd * (ww * my - wy * wm) - dw * (dw * my - wy * dm) + dy * (dw * wm - ww * dm)) / det AS bm FROM h3)"""
+query("m18b_har_variance", "ticker session_id", "var", sql="SELECT 'ALL' AS ticker, h1.session_id, exp(ay + bd * (d - ad) + bw * (w - aw) + bm * (m - am) + (n - 1) * (yy - bd * dy - bw * wy - bm * my) / (n - 4) / 2) AS var FROM h1 JOIN h4 ON h4.i = h1.i - (h1.i - 755) % 21 WHERE h1.i >= 755", tables=_HAR)(lambda s, d: har_forecasts(M.target(s, d)))
 
 
 def xlogy_sql(x: str, y: str) -> str:
@@ -220,16 +226,13 @@ def _deflated(spark, sf):
     return spark.createDataFrame(out, "strategy string, psr double, dsr double")
 
 
-_HALVES = list(itertools.combinations(range(8), 4))
-
-
 @query(
     "r19_pbo", "combo", "logit is_best oos_best",
-    sql="SELECT combo, ln(w / (1 - w)) AS logit, is_sr AS is_best, oos_sr AS oos_best FROM (SELECT *, rk / (m + 1.0) AS w, row_number() OVER (PARTITION BY combo ORDER BY coalesce(is_sr, -1e300) DESC, strategy DESC) AS best FROM (SELECT *, rank() OVER (PARTITION BY combo ORDER BY oos_sr) + (count(*) OVER (PARTITION BY combo, oos_sr) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY combo) AS m FROM (SELECT combo, strategy, max(sr) FILTER (inside) AS is_sr, coalesce(max(sr) FILTER (NOT inside), 0) AS oos_sr FROM (SELECT c.combo, b.strategy, list_contains(c.half, b.block) AS inside, avg(b.net) / nullif(stddev_samp(b.net), 0) AS sr FROM blocked b CROSS JOIN combos c GROUP BY 1, 2, 3) GROUP BY combo, strategy))) WHERE best = 1",
-    tables=f"{BENCH}, com AS (SELECT session_id, ntile(8) OVER (ORDER BY session_id) - 1 AS block FROM (SELECT session_id FROM bt GROUP BY session_id HAVING count(*) = (SELECT count(DISTINCT strategy) FROM bt))), blocked AS (SELECT b.strategy, c.block, b.net FROM bt b JOIN com c USING (session_id)), combos(combo, half) AS (VALUES {', '.join(f'({i}, {list(h)})' for i, h in enumerate(_HALVES))})",
+    sql="SELECT combo, ln(w / (1 - w)) AS logit, is_sr AS is_best, oos_sr AS oos_best FROM (SELECT *, rk / (m + 1.0) AS w, row_number() OVER (PARTITION BY combo ORDER BY coalesce(is_sr, -1e300) DESC, strategy DESC) AS best FROM (SELECT *, rank() OVER (PARTITION BY combo ORDER BY oos_sr) + (count(*) OVER (PARTITION BY combo, oos_sr) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY combo) AS m FROM (SELECT combo, strategy, max(sr) FILTER (inside) AS is_sr, coalesce(max(sr) FILTER (NOT inside), 0) AS oos_sr FROM (SELECT c.combo, b.strategy, (c.k >> (15 - b.block)) & 1 = 1 AS inside, avg(b.net) / nullif(stddev_samp(b.net), 0) AS sr FROM blocked b CROSS JOIN combos c GROUP BY 1, 2, 3) GROUP BY combo, strategy))) WHERE best = 1",
+    tables=f"{BENCH}, com AS (SELECT session_id, ntile(16) OVER (ORDER BY session_id) - 1 AS block FROM (SELECT session_id FROM bt GROUP BY session_id HAVING count(*) = (SELECT count(DISTINCT strategy) FROM bt))), blocked AS (SELECT b.strategy, c.block, b.net FROM bt b JOIN com c USING (session_id)), combos AS (SELECT CAST(row_number() OVER (ORDER BY k DESC) - 1 AS INTEGER) AS combo, k FROM range(65536) t(k) WHERE bit_count(k) = 8)",
 )
 def _pbo(spark, sf):
-    return S.pbo(spark, bench_run(spark, sf).select("strategy", "session_id", "net"), 8)
+    return S.pbo(spark, bench_run(spark, sf).select("strategy", "session_id", "net"), 16)
 
 
 @query(

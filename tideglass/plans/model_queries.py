@@ -14,6 +14,7 @@ from ..operators import models as K
 from ..operators import portfolio as P
 from ..operators import resampling as B
 from ..operators import splits as V
+from ..operators import variance as H
 from ..sources import market as M
 from .feature_queries import RANGES, guard, lag
 from .label_queries import lead
@@ -22,6 +23,8 @@ from .portfolio_queries import SHARPE, bt_sql, forecasts, market_inputs
 from .query import query
 
 COLUMNS = ["ret_1", "ret_5", "ret_21", "ret_overnight", "ret_intraday", "rev_z5", "bb_pctb_20", "volume_z"]
+#: Replicates of every bootstrap, and random paths.
+REPS = 1000
 
 
 def learning_frame(spark, sf):
@@ -40,9 +43,10 @@ def _harness(models, **how):
 
 query("m03_autoregression", "model session_id refit", "pred")(_harness({"ar": ("ar", {})}, every=252))
 query("m04_linear", "model session_id refit", "pred")(_harness({"ridge": ("ridge", {}), "elastic_net": ("elastic_net", {})}, every=252))
-query("m05_boosted", "model session_id refit", "pred")(_harness({"boosted": ("boosted", {"trees": 40})}, every=504))
-query("m07_tuned_boosted", "model session_id refit", "pred")(_harness({"tuned": ("boosted", {})}, every=504, tune={"tuned": 2}, first=1200))
-query("m09_lstm", "model session_id refit", "pred")(_harness({"lstm": ("lstm", {"epochs": 3, "seeds": 1})}, every=1000, first=1200))
+query("m05_boosted", "model session_id refit", "pred")(_harness({"boosted": ("boosted", {"trees": 300})}, every=21))
+query("m07_tuned_boosted", "model session_id refit", "pred")(_harness({"tuned": ("boosted", {})}, every=21, tune={"tuned": 12}))
+query("m18c_boosted_variance", "ticker session_id", "var")(lambda s, d: H.boosted_forecasts(M.target(s, d), X.build(M.target(s, d), ["returns", "momentum", "bollinger", "volume"]), COLUMNS))
+query("m09_lstm", "model session_id refit", "pred")(_harness({"lstm": ("lstm", {"epochs": 40, "seeds": 3, "hidden": 16})}, every=126))
 query("m16_harness", "model session_id refit", "pred")(_harness({"zero": ("zero", {}), "hist_mean": ("hist_mean", {}), "ar": ("ar", {}), "ridge": ("ridge", {})}, every=252))
 
 
@@ -88,7 +92,7 @@ def _meta(spark, sf):
     tb = L.triple_barrier(g, vertical=5).withColumn("meta", L.meta_label(F.col("side"), F.col("tb_ret")))
     u = L.average_uniqueness(tb.select("ticker", "session_id", "tb_end"), tb.select("session_id"), "tb_end").select("session_id", "uniqueness")
     f = X.build(M.target(spark, sf), ["returns"]).select("session_id", "ret_1", "ret_5", "ret_21")
-    return K.meta_positions(spark, tb.select("session_id", "side", F.col("meta").cast("double").alias("meta"), F.col("tb_end").cast("double").alias("tb_end")).join(u, "session_id").join(f, "session_id").toPandas(), ["ret_1", "ret_5", "ret_21"], first=1000, every=504)
+    return K.meta_positions(spark, tb.select("session_id", "side", F.col("meta").cast("double").alias("meta"), F.col("tb_end").cast("double").alias("tb_end")).join(u, "session_id").join(f, "session_id").toPandas(), ["ret_1", "ret_5", "ret_21"], every=252)
 
 
 def returns_matrix(spark, sf):
@@ -101,21 +105,22 @@ def _row(spark, d):
     return spark.createDataFrame([(k, float(v)) for k, v in d.items()], "name string, value double")
 
 
-query("r17_sharpe_bootstrap", "name", "value")(lambda s, d: (lambda m: _row(s, B.sharpe_interval(s, m[2][:, 0], 200)))(returns_matrix(s, d)))
-query("r17b_equity_bootstrap", "name", "value")(lambda s, d: (lambda m: _row(s, B.equity_paths(s, m[2][:, 0] / 10000, 200)))(returns_matrix(s, d)))
-query("r20_superior_ability", "name", "value")(lambda s, d: (lambda m: _row(s, B.spa(s, m[2][:, 0], m[2][:, 1:], 200)))(returns_matrix(s, d)))
+query("r17_sharpe_bootstrap", "name", "value")(lambda s, d: (lambda m: _row(s, B.sharpe_interval(s, m[2][:, 0], REPS)))(returns_matrix(s, d)))
+# Prices of this table are so wild that holding the target returns 450 % in the mean session, and a product of thousands of such returns leaves the doubles: returns are divided by 10,000.
+query("r17b_equity_bootstrap", "name", "value")(lambda s, d: (lambda m: _row(s, B.equity_paths(s, m[2][:, 0] / 10000, REPS)))(returns_matrix(s, d)))
+query("r20_superior_ability", "name", "value")(lambda s, d: (lambda m: _row(s, B.spa(s, m[2][:, 0], m[2][:, 1:], REPS)))(returns_matrix(s, d)))
 
 
 @query("r11_confidence_set", "name", "value")
 def _mcs(spark, sf):
     f = forecasts(spark, sf).where("r is not null").withColumn("loss", (F.col("r") - F.col("pred")) ** 2).select("model", "session_id", "loss").toPandas().pivot(index="session_id", columns="model", values="loss").dropna()
-    return _row(spark, B.confidence_set(spark, f.to_numpy(), list(f.columns), 200))
+    return _row(spark, B.confidence_set(spark, f.to_numpy(), list(f.columns), REPS))
 
 
 @query("e08_random_paths", "path", "exposure sharpe")
 def _random(spark, sf):
     m = market_inputs(spark, sf).where("r is not null and session_id >= 300").select("session_id", "r").toPandas().sort_values("session_id")
-    return P.random_paths(spark, m["r"].to_numpy(), 100, 0.5, 20)
+    return P.random_paths(spark, m["r"].to_numpy(), REPS, 0.5, 20)
 
 
 @query("r21_random_null", "", "best percentile")
@@ -123,7 +128,7 @@ def _null(spark, sf):
     """Where the trend rule's Sharpe lies among random long/flat paths of like exposure."""
     best = bench_run(spark, sf).where("strategy = 'trend_200'").agg(S.sharpe().alias("s"), F.avg("position").alias("p")).first()
     m = market_inputs(spark, sf).where("r is not null and session_id >= 300").select("session_id", "r").toPandas().sort_values("session_id")
-    paths = P.random_paths(spark, m["r"].to_numpy(), 100, min(0.95, max(0.05, best.p)), 20)
+    paths = P.random_paths(spark, m["r"].to_numpy(), REPS, min(0.95, max(0.05, best.p)), 20)
     return paths.agg(F.lit(best.s).alias("best"), F.avg((F.col("sharpe") < best.s).cast("double")).alias("percentile"))
 
 
@@ -132,7 +137,7 @@ def _importance(spark, sf):
     f = learning_frame(spark, sf)
     part = K.ward_clusters(f[COLUMNS].corr("spearman").to_numpy(), 4)
     groups = {c: [c] for c in COLUMNS} | {f"cluster_{k}": [c for c, p in zip(COLUMNS, part, strict=True) if p == k] for k in range(part.max() + 1)}
-    return K.importance(spark, f, COLUMNS, groups, folds=3, repeats=1)
+    return K.importance(spark, f, COLUMNS, groups, folds=5, repeats=5)
 
 
 @query("r23_cpcv_paths", "path", "sharpe")

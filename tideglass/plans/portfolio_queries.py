@@ -9,6 +9,7 @@ from ..functions.windows import Trail, ln
 from ..operators import labels as L
 from ..operators import portfolio as P
 from ..operators.metrics import drawdowns, sharpe
+from ..operators.variance import proxy
 from ..sources import market as M
 from .feature_queries import RANGES, guard, lag
 from .label_queries import lead
@@ -178,14 +179,5 @@ query("m10_mixture", "session_id", "mean std", sql="SELECT session_id, avg(pred)
     lambda s, d: forecasts(s, d).groupBy("session_id").agg(F.avg("pred").alias("mean"), F.sqrt(F.greatest(F.avg(F.col("var") + F.col("pred") ** 2) - F.avg("pred") ** 2, F.lit(0.0))).alias("std"))
 )
 query("m19_variance_proxy", "ticker session_id", "rv", sql="SELECT ticker, session_id, yo * yo + greatest(gk, 0) AS rv FROM ranges WHERE yo IS NOT NULL AND gk IS NOT NULL", tables=RANGES)(
-    lambda s, d: variance_proxy(M.grid(s, d)).where("rv is not null")
+    lambda s, d: proxy(M.grid(s, d)).where("rv is not null")
 )
-
-
-def variance_proxy(g):
-    """rv: squared overnight gap plus the session's Garman-Klass variance."""
-    from ..operators.features import ranges
-
-    return g.withColumns({k: c for k, c in ranges(Trail()).items() if k in ("_yo", "_gk")}).withColumn("rv", F.when(F.col("_gk").isNotNull(), F.col("_yo") ** 2 + F.greatest("_gk", F.lit(0.0)))).drop("_yo", "_gk")
-
-

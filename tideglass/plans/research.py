@@ -85,11 +85,20 @@ class Research:
             self.registry.log("model", m, {"model": m, **as_dict(c)["cv"]}, {}, self.run_id)
         return self.spark.read.parquet(self.path(out))
 
-    def inputs(self, everything: bool = False) -> DataFrame:
+    def market(self, everything: bool = False) -> DataFrame:
         t = Trail()
         g = self.target(everything).withColumns({"lr": t.diff(ln("close")), "r": labels.holding_return(), "dollar": F.col("close") * F.col("volume")})
-        g = g.withColumns({"sigma": t.std("lr", 63), "a": t.mean("dollar", 20)})
-        return g.withColumns({"adv": t.lag("a"), "var": F.col("sigma") ** 2, "p_high": F.lit(0.0)}).select("session_id", "date", "r", "sigma", "adv", "var", "p_high")
+        return g.withColumns({"sigma": t.std("lr", 63), "a": t.mean("dollar", 20)}).withColumn("adv", t.lag("a"))
+
+    def inputs(self, everything: bool = False) -> DataFrame:
+        """What sizing and costs need, written once; the variance is that of the GJR model with t errors, p_high that of the regime filter."""
+        first, path = self.cfg.cv.initial_train, self.path("lockbox_inputs" if everything else "inputs")
+        g = self.market(everything)
+        var = recursions.garch_forecasts(g, ("gjr_t",), first=first - 1).select("session_id", "var")  # the first return is of the second session
+        p_high = recursions.regime_probability(self.target(everything), first=first).select("session_id", "p_high")
+        rows = g.join(var, "session_id", "left").join(p_high, "session_id", "left")
+        rows.select("session_id", "date", "r", "sigma", "adv", "var", "p_high").write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
 
     def backtest(self, forecasts: str = "forecasts", out: str = "backtest", everything: bool = False) -> DataFrame:
         """All strategies through both engines; they must agree."""
@@ -113,7 +122,7 @@ class Research:
         c = self.cfg
         bt = self.spark.read.parquet(self.path(name))
         perf = [r.asDict() for r in metrics.performance(bt).orderBy("strategy").collect()]
-        f = self.spark.read.parquet(self.path(forecasts)).select("model", "session_id", "pred").join(self.inputs(everything).select("session_id", "r"), "session_id")
+        f = self.spark.read.parquet(self.path(forecasts)).select("model", "session_id", "pred").join(self.market(everything).select("session_id", "r"), "session_id")
         ics = [r.asDict() for r in metrics.information_coefficient(f).orderBy("model").collect()]
         ranked = [p for p in perf if p["sharpe"] is not None]
         if not ranked:
