@@ -12,7 +12,7 @@ computed for whole batches at once by doubling, with 32 empty places between
 texts, which is exactly the sequential hash started anew for each.
 
 Neighbours: rows are dealt to ranges of the id (bounds from a bounded sample of
-ids), sorted, and read in order; each range gets one more row, the first
+ids; their number follows the input's size), sorted, and read in order; each range gets one more row, the first
 row of the next, so every row meets its successor without one task for all.
 
 Defined results: a null text is the empty text; an empty text has the empty
@@ -32,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, sliced, tidy
+from .common import bounded_batches, buckets, documents, input_bytes, sliced, tidy
 
 LEAST, NORMAL, MOST = 12, 40, 160
 #: Hash bits that must be zero: six before the normal size, four of them after it.
 STRICT, LOOSE = np.uint32(0xFC000000), np.uint32(0xF0000000)
 GEAR = np.random.default_rng(20240607).integers(0, 1 << 32, 256, dtype=np.uint32)
+#: Estimated bytes of the input for each task of the range shuffle.
+RANGE_BYTES = 32 << 20
 WIDTH, SIZE = 12, 2  # hex digits of a digest and of a length
 
 
@@ -124,7 +126,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges_each: int = 4) -> DataFrame:
     """range, tail, doc_id, text: sorted in every task; a range's last row is the first of the next range (tail true)."""
     spark = docs.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = buckets(spark, input_bytes(docs), RANGE_BYTES)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     many = n * ranges_each
     # bounds from at most about 20 ids for each range, as a range partitioner takes them
