@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.windows import Trail
 from ..operators import features as X
 from ..sources import market as M
-from .query import query
+from .query import QUERIES, query
 
 ANN, LN2 = X.ANN, X.LN2
 KEYS = "ticker session_id"
@@ -164,13 +164,18 @@ def _exogenous(spark, sf):
     return X.build(g, ["fund_returns"], X.Params(exogenous_lag=2)).withColumnRenamed("sector_ret_5", "lagged")
 
 
-@query("c09_feature_frame", "", "rows complete columns", sql=None)
+#: The queries that say each group of the frame's columns in SQL.
+_PARTS = ("w01_log_returns", "w02_overnight_intraday", "w08_log_vols", "w09_vol_of_vol", "w10_rv_ratio", "w11_momentum", "w12_reversal", "w13_average_distance", "w16_bollinger", "w20_volume_z", "w21_amihud", "w22_dollar_volume", "c01_earnings", "c02_month_end", "c03_expiry_week", "c04_beta_corr", "c05_peers", "c06_fund_returns", "c07_macro")
+_FRAME = [c for n in _PARTS for c in QUERIES[n].values]
+
+
+@query("c09_feature_frame", KEYS, " ".join(_FRAME), sql=f"SELECT * FROM ({QUERIES[_PARTS[0]].sql()}) " + " ".join(f"LEFT JOIN ({QUERIES[n].sql()}) USING (ticker, session_id)" for n in _PARTS[1:]) + " WHERE ticker = 'ALL'")
 def _frame(spark, sf):
-    """Every registered column of the target in one plan, and how many rows are complete."""
+    """Every registered column of the target in one plan."""
     f = X.build(X.target_frame(spark, sf))
-    names = [c for c in f.columns if c not in ("ticker", "session_id", "date")]
-    known = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))
-    return f.agg(F.count(F.lit(1)).alias("rows"), F.count_if(known == len(names)).alias("complete"), F.lit(len(names)).alias("columns"))
+    if missing := set(f.columns) ^ {"ticker", "session_id", "date", *_FRAME}:
+        raise ValueError(f"columns that the frame or its queries lack: {sorted(missing)}")
+    return f
 
 
 @query("k10_column_stats", "feature", "mean std min max", sql="SELECT feature, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, max(v) AS max FROM (SELECT unnest(['ret_1', 'ret_5', 'ret_21']) AS feature, unnest([a, b, c]) AS v FROM (SELECT " + ", ".join(f"ln(close) - ln({lag('close', h)}) AS {n}" for h, n in ((1, "a"), (5, "b"), (21, "c"))) + " FROM (SELECT * FROM grid WHERE ticker = 'ALL')) WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL) GROUP BY feature", tables=GRID)
