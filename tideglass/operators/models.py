@@ -223,10 +223,17 @@ class Boosted:
 
 
 class Recurrent:
-    """One LSTM layer and a Gaussian head on sequences of standardised rows; seeds are averaged, errors of means included."""
+    """One LSTM layer on sequences of standardised rows; seeds are averaged.
 
-    def __init__(self, length: int = 20, hidden: int = 12, epochs: int = 8, rate: float = 0.01, seeds: int = 2, batch: int = 64):
-        self.length, self.hidden, self.epochs, self.rate, self.seeds, self.batch = length, hidden, epochs, rate, seeds, batch
+    The head is Gaussian (mean and log variance; errors of means are part of
+    the mixture's spread) or gives ``quantiles``, learnt by the pinball loss.
+    Other layers override ``start``, ``run`` and ``back``.
+    """
+
+    def __init__(self, length: int = 20, hidden: int = 12, epochs: int = 8, rate: float = 0.01, seeds: int = 2, batch: int = 64, head: str = "gaussian", quantiles: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)):
+        if head not in ("gaussian", "quantile"):
+            raise ValueError(f"unknown head {head}")
+        self.length, self.hidden, self.epochs, self.rate, self.seeds, self.batch, self.head, self.quantiles = length, hidden, epochs, rate, seeds, batch, head, np.array(quantiles)
 
     def sequences(self, X):
         Z = np.clip(np.nan_to_num((X - self.mean) / self.sd), -10, 10)
@@ -237,7 +244,12 @@ class Recurrent:
     def sigmoid(x):
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    def forward(self, P, S):
+    def start(self, rng, k):
+        h = self.hidden
+        return {"W": rng.normal(0, k**-0.5, (k, 4 * h)), "U": rng.normal(0, h**-0.5, (h, 4 * h)), "b": np.zeros(4 * h)}
+
+    def run(self, P, S):
+        """The last state, and what ``back`` needs."""
         n, h = len(S), np.zeros((len(S), self.hidden))
         c, keep = np.zeros((n, self.hidden)), []
         for t in range(self.length):
@@ -247,17 +259,11 @@ class Recurrent:
             c2 = f * c + i * g
             keep.append((h, c, i, f, o, g, c2))
             h, c = o * np.tanh(c2), c2
-        out = h @ P["V"] + P["d"]
-        return out, h, keep
+        return h, keep
 
-    def gradient(self, P, S, y):
-        out, h, keep = self.forward(P, S)
-        mu, lv = out[:, 0], np.clip(out[:, 1], -8, 8)
-        e, inv = mu - y, np.exp(-lv)
-        d = np.column_stack([e * inv, 0.5 * (1 - e * e * inv)]) / len(y)
-        g = {k: np.zeros_like(v) for k, v in P.items()}
-        g["V"], g["d"] = h.T @ d, d.sum(axis=0)
-        dh, dc = d @ P["V"].T, np.zeros_like(h)
+    def back(self, P, S, keep, dh, g):
+        """Adds the layer's gradients to g."""
+        dc = np.zeros_like(dh)
         for t in range(self.length - 1, -1, -1):
             h0, c0, i, f, o, gg, c2 = keep[t]
             th = np.tanh(c2)
@@ -267,6 +273,26 @@ class Recurrent:
             g["U"] += h0.T @ da
             g["b"] += da.sum(axis=0)
             dh, dc = da @ P["U"].T, dc * f
+
+    def forward(self, P, S):
+        h, keep = self.run(P, S)
+        return h @ P["V"] + P["d"], h, keep
+
+    def loss(self, out, y):
+        """Mean loss, and its gradient by the outputs."""
+        if self.head == "quantile":
+            e = y[:, None] - out
+            return float(np.maximum(self.quantiles * e, (self.quantiles - 1) * e).sum(axis=1).mean()), ((e < 0) - self.quantiles) / len(y)
+        e, lv = out[:, 0] - y, np.clip(out[:, 1], -8, 8)
+        inv = np.exp(-lv)
+        return float(0.5 * (lv + e * e * inv).mean()), np.column_stack([e * inv, 0.5 * (1 - e * e * inv)]) / len(y)
+
+    def gradient(self, P, S, y):
+        out, h, keep = self.forward(P, S)
+        d = self.loss(out, y)[1]
+        g = {k: np.zeros_like(v) for k, v in P.items()}
+        g["V"], g["d"] = h.T @ d, d.sum(axis=0)
+        self.back(P, S, keep, d @ P["V"].T, g)
         return g
 
     def fit(self, X, y, w=None):
@@ -275,10 +301,11 @@ class Recurrent:
         self.scale = float(np.std(y)) or 1.0
         S, y = self.sequences(X), y / self.scale
         self.nets = []
+        outs = 2 if self.head == "gaussian" else len(self.quantiles)
         for seed in range(self.seeds):
             rng = np.random.default_rng(seed)
-            k, h = X.shape[1], self.hidden
-            P = {"W": rng.normal(0, k**-0.5, (k, 4 * h)), "U": rng.normal(0, h**-0.5, (h, 4 * h)), "b": np.zeros(4 * h), "V": rng.normal(0, 0.05, (h, 2)), "d": np.zeros(2)}
+            P = self.start(rng, X.shape[1])
+            P |= {"V": rng.normal(0, 0.05, (self.hidden, outs)), "d": np.zeros(outs)}
             m1, m2 = ({n: np.zeros_like(a) for n, a in P.items()} for _ in range(2))
             step = 0
             for _ in range(self.epochs):
@@ -293,18 +320,98 @@ class Recurrent:
         return self
 
     def distribution(self, X):
-        """mean, std of the seeds' mixture."""
+        """mean, std of the seeds' mixture; with a quantile head the mean of the seeds' quantiles, in order."""
         outs = [self.forward(P, self.sequences(X))[0] for P in self.nets]
+        if self.head == "quantile":
+            return np.sort(np.mean(outs, axis=0), axis=1) * self.scale
         mu = np.array([o[:, 0] for o in outs])
         var = np.array([np.exp(np.clip(o[:, 1], -8, 8)) for o in outs])
         mean = mu.mean(axis=0)
         return mean * self.scale, np.sqrt((var + mu**2).mean(axis=0) - mean**2) * self.scale
 
     def predict(self, X):
-        return self.distribution(X)[0]
+        got = self.distribution(X)
+        return got[0] if self.head == "gaussian" else got[:, np.abs(self.quantiles - 0.5).argmin()]
+
+
+class GatedRecurrent(Recurrent):
+    """A GRU layer: the reset gate scales what the state gives to the candidate."""
+
+    def start(self, rng, k):
+        h = self.hidden
+        return {"W": rng.normal(0, k**-0.5, (k, 3 * h)), "U": rng.normal(0, h**-0.5, (h, 3 * h)), "b": np.zeros(3 * h)}
+
+    def run(self, P, S):
+        n, h, keep = self.hidden, np.zeros((len(S), self.hidden)), []
+        for t in range(self.length):
+            a, u = S[:, t] @ P["W"] + P["b"], h @ P["U"]
+            z, r = self.sigmoid(a[:, :n] + u[:, :n]), self.sigmoid(a[:, n : 2 * n] + u[:, n : 2 * n])
+            c = np.tanh(a[:, 2 * n :] + r * u[:, 2 * n :])
+            keep.append((h, z, r, c, u[:, 2 * n :]))
+            h = (1 - z) * c + z * h
+        return h, keep
+
+    def back(self, P, S, keep, dh, g):
+        for t in range(self.length - 1, -1, -1):
+            h0, z, r, c, u = keep[t]
+            dc = dh * (1 - z) * (1 - c * c)
+            dz, dr = dh * (h0 - c) * z * (1 - z), dc * u * r * (1 - r)
+            da, du = np.concatenate([dz, dr, dc], axis=1), np.concatenate([dz, dr, dc * r], axis=1)
+            g["W"] += S[:, t].T @ da
+            g["b"] += da.sum(axis=0)
+            g["U"] += h0.T @ du
+            dh = dh * z + du @ P["U"].T
+
+
+class Convolutional(Recurrent):
+    """A temporal convolution network: causal filters of three steps whose reach doubles at each level, with residuals."""
+
+    LEVELS, KERNEL = 3, 3
+
+    def start(self, rng, k):
+        P = {"R": rng.normal(0, k**-0.5, (k, self.hidden))}
+        for level in range(self.LEVELS):
+            size = k if level == 0 else self.hidden
+            P |= {f"W{level}": rng.normal(0, (self.KERNEL * size) ** -0.5, (self.KERNEL * size, self.hidden)), f"b{level}": np.zeros(self.hidden)}
+        return P
+
+    def taps(self, x, level):
+        """The steps that a filter sees, side by side: now, and 1 and 2 reaches before; nothing lies before the sequence."""
+        out = np.zeros((*x.shape[:2], self.KERNEL, x.shape[2]))
+        for j in range(self.KERNEL):
+            at = j << level
+            if at < self.length:
+                out[:, at:, j] = x[:, : self.length - at]
+        return out.reshape(*x.shape[:2], -1)
+
+    def run(self, P, S):
+        x, keep = S, []
+        for level in range(self.LEVELS):
+            seen = self.taps(x, level)
+            a = seen @ P[f"W{level}"] + P[f"b{level}"]
+            keep.append((seen, a))
+            x = np.maximum(a, 0) + (x @ P["R"] if level == 0 else x)
+        return x[:, -1], keep
+
+    def back(self, P, S, keep, dh, g):
+        dx = np.zeros((len(S), self.length, self.hidden))
+        dx[:, -1] = dh
+        for level in range(self.LEVELS - 1, -1, -1):
+            seen, a = keep[level]
+            da = dx * (a > 0)
+            g[f"W{level}"] += np.einsum("ntk,nth->kh", seen, da, optimize=True)
+            g[f"b{level}"] += da.sum(axis=(0, 1))
+            if level == 0:
+                g["R"] += np.einsum("ntk,nth->kh", S, dx, optimize=True)
+                return
+            dseen = (da @ P[f"W{level}"].T).reshape(len(S), self.length, self.KERNEL, -1)
+            for j in range(self.KERNEL):
+                at = j << level
+                if at < self.length:
+                    dx[:, : self.length - at] += dseen[:, at:, j]
 
 
-KINDS: dict[str, Callable[..., Any]] = {"zero": Zero, "hist_mean": HistMean, "ar": Autoregression, "ridge": Linear, "elastic_net": lambda **k: Linear(**{"alphas": (0.001, 0.01, 0.1), "l1_ratio": 0.5} | k), "boosted": Boosted, "lstm": Recurrent}
+KINDS: dict[str, Callable[..., Any]] = {"zero": Zero, "hist_mean": HistMean, "ar": Autoregression, "ridge": Linear, "elastic_net": lambda **k: Linear(**{"alphas": (0.001, 0.01, 0.1), "l1_ratio": 0.5} | k), "boosted": Boosted, "lstm": Recurrent, "gru": GatedRecurrent, "tcn": Convolutional}
 
 
 def make(kind: str, **params) -> Forecaster:

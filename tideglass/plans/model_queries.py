@@ -46,7 +46,10 @@ query("m04_linear", "model session_id refit", "pred")(_harness({"ridge": ("ridge
 query("m05_boosted", "model session_id refit", "pred")(_harness({"boosted": ("boosted", {"trees": 300})}, every=21))
 query("m07_tuned_boosted", "model session_id refit", "pred")(_harness({"tuned": ("boosted", {})}, every=21, tune={"tuned": 12}))
 query("m18c_boosted_variance", "ticker session_id", "var")(lambda s, d: H.boosted_forecasts(M.target(s, d), X.build(M.target(s, d), ["returns", "momentum", "bollinger", "volume"]), COLUMNS))
-query("m09_lstm", "model session_id refit", "pred")(_harness({"lstm": ("lstm", {"epochs": 40, "seeds": 3, "hidden": 16})}, every=126))
+_NET = {"epochs": 40, "seeds": 3, "hidden": 16}
+query("m09_lstm", "model session_id refit", "pred")(_harness({"lstm": ("lstm", _NET), "lstm_quantile": ("lstm", _NET | {"head": "quantile"})}, every=126))
+query("m09b_gru", "model session_id refit", "pred")(_harness({"gru": ("gru", _NET), "gru_quantile": ("gru", _NET | {"head": "quantile"})}, every=126))
+query("m09c_tcn", "model session_id refit", "pred")(_harness({"tcn": ("tcn", _NET | {"length": 32})}, every=126))
 query("m16_harness", "model session_id refit", "pred")(_harness({"zero": ("zero", {}), "hist_mean": ("hist_mean", {}), "ar": ("ar", {}), "ridge": ("ridge", {})}, every=252))
 
 
