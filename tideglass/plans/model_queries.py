@@ -41,8 +41,8 @@ def _harness(models, **how):
     return lambda spark, sf: K.walk_forward(spark, learning_frame(spark, sf), COLUMNS, models, **how)
 
 
-query("m03_autoregression", "model session_id refit", "pred")(_harness({"ar": ("ar", {})}, every=252))
-query("m04_linear", "model session_id refit", "pred")(_harness({"ridge": ("ridge", {}), "elastic_net": ("elastic_net", {})}, every=252))
+query("m03_autoregression", "model session_id refit", "pred")(_harness({"ar": ("ar", {})}, every=21))
+query("m04_linear", "model session_id refit", "pred")(_harness({"ridge": ("ridge", {}), "elastic_net": ("elastic_net", {})}, every=21))
 query("m05_boosted", "model session_id refit", "pred")(_harness({"boosted": ("boosted", {"trees": 300})}, every=21))
 query("m07_tuned_boosted", "model session_id refit", "pred")(_harness({"tuned": ("boosted", {})}, every=21, tune={"tuned": 12}))
 query("m18c_boosted_variance", "ticker session_id", "var")(lambda s, d: H.boosted_forecasts(M.target(s, d), X.build(M.target(s, d), ["returns", "momentum", "bollinger", "volume"]), COLUMNS))
@@ -50,7 +50,7 @@ _NET = {"epochs": 40, "seeds": 3, "hidden": 16}
 query("m09_lstm", "model session_id refit", "pred")(_harness({"lstm": ("lstm", _NET), "lstm_quantile": ("lstm", _NET | {"head": "quantile"})}, every=126))
 query("m09b_gru", "model session_id refit", "pred")(_harness({"gru": ("gru", _NET), "gru_quantile": ("gru", _NET | {"head": "quantile"})}, every=126))
 query("m09c_tcn", "model session_id refit", "pred")(_harness({"tcn": ("tcn", _NET | {"length": 32})}, every=126))
-query("m16_harness", "model session_id refit", "pred")(_harness({"zero": ("zero", {}), "hist_mean": ("hist_mean", {}), "ar": ("ar", {}), "ridge": ("ridge", {})}, every=252))
+query("m16_harness", "model session_id refit", "pred")(_harness({"zero": ("zero", {}), "hist_mean": ("hist_mean", {}), "ar": ("ar", {}), "ridge": ("ridge", {})}, every=21))
 
 
 _LR = f"""{RANGES}, lr AS (SELECT r AS a, ln(open) - ln({lag('close')}) AS b, ln({lead('open', 2)}) - ln({lead('open')}) AS y, ticker FROM ranges),
@@ -193,7 +193,7 @@ def _regime_fit(spark, sf):
     from ..operators.recursions import hmm_fit, regime_inputs
 
     rows = regime_inputs(M.target(spark, sf)).select("session_id", "ret", "log_range").toPandas().sort_values("session_id")
-    m = hmm_fit(rows[["ret", "log_range"]].to_numpy(float), iterations=60)
+    m = hmm_fit(rows[["ret", "log_range"]].to_numpy(float), iterations=200)
     return spark.createDataFrame([(k, float(m["mean"][k, 0]), float(m["cov"][k, 0, 0] ** 0.5), float(m["trans"][k, k])) for k in range(2)], "state int, mean double, volatility double, stay double")
 
 
